@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pitchgrid.plans import core_queries
+from pitchgrid.plans import core_queries, match_queries
 
-MODULES = [core_queries]
-FLAGSHIP = core_queries.p1_found
+MODULES = [core_queries, match_queries]
+FLAGSHIP = match_queries.QUERIES["AGG05_possession_by_team"]
 
 
 def queries() -> dict:
