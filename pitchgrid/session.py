@@ -42,8 +42,9 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Shuffle partitions for a shuffle about the size of df: the session's number, more where df is larger."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // bytes_each))
+    """Shuffle partitions for a shuffle about the size of df: the session's number, more where df is known to be larger."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return least if size >= 1 << 55 else max(least, min(200_000, -(-size // bytes_each)))  # 2^55: Spark's "unknown"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
