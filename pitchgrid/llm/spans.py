@@ -148,8 +148,8 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
     positions some shift up to the period brings both onto the cover, so two texts that share `least`
     characters share an aligned anchor inside them. Texts with an anchor of another text keep the stretches
     around it; there the spans of exactly `least` characters that begin or end with an anchor are compared
-    (128 bits of hash), and what these do not cover is compared at every position, so that spans are
-    found to the character. A row of a shared value goes once to its partition from each task.
+    (128 bits of hash). Anchors around which starts are left that these do not cover stay open in all
+    texts that have them, and there every start is compared, so that spans are found to the character. A row of a shared value goes once to its partition from each task.
 
     Rows of one doc are one text for another's sake: they never share with each other. Null, empty and
     shorter texts share nothing; repeated rows change nothing. Empty tables give no rows.
@@ -208,15 +208,17 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
             for d, value, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 value = value.as_py()
                 at, h = anchors(rolling, value)
-                at = at[np.isin(h, shared.values.to_numpy())]
+                known = np.isin(h, shared.values.to_numpy())
+                at, h = at[known], h[known]
                 starts, ends = _merge(np.maximum(0, at - reach), np.minimum(len(value), at + least))
                 for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                     if e - s >= least:
-                        out.append((d, s, value[s:e], (at[(at >= s) & (at + window <= e)] - s).tolist()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (doc_type, pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)], names=[doc, "start", "piece", "at"])
+                        own = (at >= s) & (at + window <= e)
+                        out.append((d, s, value[s:e], (at[own] - s).tolist(), h[own].tolist()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (doc_type, pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=[doc, "start", "piece", "at", "hash"])
 
-    pieces = texts.join(met, doc).select(doc, "text", "anchors").mapInArrow(regions, f"`{doc}` {kind}, start long, piece string, at array<long>")
+    pieces = texts.join(met, doc).select(doc, "text", "anchors").mapInArrow(regions, f"`{doc}` {kind}, start long, piece string, at array<long>, hash array<long>")
     pieces = checkpointed(pieces)
 
     def spans_at(choose) -> Iterator:  # noqa: ANN001
@@ -260,20 +262,38 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
         p = np.unique(np.concatenate([at, at - reach]))
         return p[(p >= 0) & (p + least <= length)]
 
-    def uncovered(b: dict, i: int, length: int) -> np.ndarray:
-        """Starts that could hold a shared span and would add to what is known: near an anchor, not inside the covered."""
-        at, known = np.array(b["at"][i]), np.array(sorted(b["known"][i] or []), np.int64) - b["start"][i]
-        s, e = _merge(np.maximum(0, at - reach), np.minimum(at + 1, length - least + 1))
-        p = np.concatenate([np.arange(x, y) for x, y in zip(s, e, strict=True)] or [np.zeros(0, np.int64)])
-        p = p[p + least <= length]
-        a, z = _merge(known, known + least)
-        j = np.searchsorted(a, p, "right") - 1
-        inside = (j >= 0) & (p + least <= z[np.maximum(j, 0)]) if len(a) else np.zeros(len(p), bool)
-        return p[~inside]
+    def open_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors with starts around them that could add to what is known, and the least and greatest shift to such a start."""
+        for batch in batches:
+            b, out = batch.to_pydict(), []
+            for i in range(batch.num_rows):
+                at, length = np.array(b["at"][i], np.int64), len(b["piece"][i])
+                known = np.array(sorted(set(b["known"][i] or [])), np.int64) - b["start"][i]
+                s, e = _merge(np.maximum(0, at - reach), np.minimum(at, length - least) + 1)
+                p = np.concatenate([np.arange(x, y) for x, y in zip(s, e, strict=True)] or [np.zeros(0, np.int64)])
+                if len(known):
+                    a, z = _merge(known, known + least)
+                    j = np.searchsorted(a, p, "right") - 1
+                    p = p[(j < 0) | (p + least > z[np.maximum(j, 0)])]
+                lo, hi = np.searchsorted(p, at - reach), np.searchsorted(p, at, "right")
+                some = np.flatnonzero(hi > lo)
+                if len(some):
+                    out.append((np.array(b["hash"][i], np.int64)[some], at[some] - p[hi[some] - 1], at[some] - p[lo[some]]))
+            cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            yield pa.record_batch([pa.array(c) for c in cols], names=["hash", "near", "far"])
+
+    def around_open(b: dict, i: int, length: int) -> np.ndarray:
+        p = [np.arange(max(0, o["at"] - o["far"]), min(o["at"] - o["near"], length - least) + 1) for o in b["open"][i]]
+        return np.unique(np.concatenate(p))
 
     sure = checkpointed(found(pieces, beside_anchors))
     known = sure.groupBy(doc).agg(F.collect_list("span").alias("known"))
-    rest = found(pieces.join(known, doc, "left"), uncovered)
+    # What an uncovered start of one text matches may be covered in another: an open anchor is open for all its texts.
+    opened = pieces.join(known, doc, "left").select("start", "piece", "at", "hash", "known").mapInArrow(open_anchors, "hash long, near long, far long")
+    opened = opened.groupBy("hash").agg(F.min("near").alias("near"), F.max("far").alias("far"))
+    each = pieces.select(doc, "start", F.explode(F.arrays_zip("at", "hash")).alias("a")).select(doc, "start", "a.at", "a.hash").join(opened, "hash")
+    each = each.groupBy(doc, "start").agg(F.collect_set(F.struct("at", "near", "far")).alias("open"))
+    rest = found(pieces.select(doc, "start", "piece").join(each, [doc, "start"]), around_open)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

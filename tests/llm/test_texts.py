@@ -1,11 +1,12 @@
 """Packing, leaked passages, shared spans: against brute force on small fixtures."""
 
 import random
+import re
 
 import pytest
 
 from pitchgrid.llm import leaks, packing
-from pitchgrid.llm.leaks import leaked_passages, words_of
+from pitchgrid.llm.leaks import leaked_passages
 from pitchgrid.llm.packing import TokenCounter, pack_texts
 from pitchgrid.llm.spans import cover_for, difference_cover, shared_spans
 
@@ -58,6 +59,10 @@ def test_packing_of_nothing(spark):
     assert [r.tokens for r in pack_texts(docs(spark, [None]), "doc_id", "text").collect()] == [0]
 
 
+def words_of(text):
+    return [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
+
+
 ITEMS = "item_id long, passage string, hash long, words string"
 
 
@@ -90,8 +95,14 @@ def test_leaks(spark, monkeypatch):
     assert leaked_passages(docs(spark, texts), "doc_id", "text", items.limit(0), "item_id", "passage").collect() == []
 
 
-def test_slots():
-    assert leaks.slot("12") == leaks.slot("7") and leaks.slot("cm") == leaks.slot("px") and leaks.slot("ball") == "ball"
+def test_words_and_slots():
+    t = leaks.Templates(2)
+    text = "Ball_12 rolls 7 cm, Alice\u0301 sees ÉTÉ; 漢字かな x² ٣٤ _ __ A1b"
+    start, end, h = t(text)
+    assert [text[a:b].lower() for a, b in zip(start, end)] == words_of(text)
+    same = lambda a, b: t(a)[2].tolist() == t(b)[2].tolist()
+    assert same("move 12 cm", "MOVE 7 px") and same("Alice runs fast", "bob Runs--fast") and not same("move 12 cm", "move a cm") and not same("ab c", "a bc")
+    assert len(t("")[2]) == len(t(None)[2]) == len(t("one")[2]) == 0
     assert leaks.consistent(["a", "1", "a"], ["b", "2", "b"]) and not leaks.consistent(["a", "1", "a"], ["b", "2", "c"])
 
 
