@@ -17,55 +17,90 @@ WORDS = re.compile(r"[^\W_]+")
 _ODD = 0x9E3779B97F4A7C15
 
 
-def words_of(text: str | None) -> list[str]:
-    """Maximal runs of letters and digits, without case."""
-    return [w.lower() for w in WORDS.findall(text)] if text else []
-
-
-def slot(word: str) -> str:
-    """The typed placeholder of a number, unit or name; other words stand for themselves. It depends on the word alone, so equal words have equal templates."""
-    if word.isdecimal():
-        return "\x02number"
-    if word in UNITS:
-        return "\x02unit"
-    return "\x02name" if word in NAMES else word
+class Templates:
+    """Words and hashes of all windows of `size` placeholders of a text, by whole arrays of code points.
 
+    A word's code is a polynomial hash of its lower-case letters and digits, the same in every process.
+    """
 
-class Templates:
-    """Hashes of all windows of `size` placeholders; a word's code comes from blake2b, so every process agrees."""
-
-    def __init__(self, size: int, keep: int = 1 << 20):
-        from hashlib import blake2b
-
-        self.size, self.keep, self.known, self.digest = size, keep, {}, blake2b
-        self.powers = np.array([pow(_ODD, i, 1 << 64) for i in range(size)], np.uint64)
-
-    def code(self, word: str) -> int:
-        c = self.known.get(word)
-        if c is None:
-            c = int.from_bytes(self.digest(slot(word).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[word] = c
-        return c
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(words) < self.size:
-            return np.zeros(0, np.uint64)
-        codes = np.fromiter(map(self.code, words), np.uint64, len(words))
-        n = len(words) - self.size + 1
-        out = np.zeros(n, np.uint64)
-        for i in range(self.size):
-            out += codes[i : i + n] * self.powers[i]
+    def __init__(self, size: int):
+        self.size = size
+        self.kind, self.lower = np.full(0x110000, 255, np.uint8), np.zeros(0x110000, np.uint32)  # 255: not yet met
+        self._powers(1 << 12)
+        fixed = {w: i for i, names in enumerate((UNITS, NAMES)) for w in names}
+        codes = {int(self.codes(np.frombuffer(w.encode("utf-32-le"), np.uint32))[2][0]): i for w, i in fixed.items()}
+        self.fixed = np.array(sorted(codes), np.uint64)
+        self.fixed_as = np.array([3 + codes[c] for c in sorted(codes)], np.uint64)
+        self.low = np.zeros(1 << 16, bool)
+        self.low[(self.fixed & np.uint64(0xFFFF)).astype(int)] = True
+
+    def _powers(self, n: int) -> None:
+        def run(base: int) -> np.ndarray:
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            return np.cumprod(p, dtype=np.uint64)
+
+        self.powers, self.inverse = run(_ODD), run(pow(_ODD, -1, 1 << 64))
+
+    def _learn(self, points: np.ndarray) -> None:
+        for c in np.unique(points).tolist():
+            ch = chr(c)
+            self.kind[c] = 2 if ch.isdecimal() else 1 if WORDS.fullmatch(ch) else 0
+            self.lower[c] = ord(ch.lower()[0])
+
+    def codes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and code of each word."""
+        kind = self.kind[points]
+        if len(points) and kind.max() == 255:
+            self._learn(points[kind == 255])
+            kind = self.kind[points]
+        if len(points) + 1 > len(self.powers):
+            self._powers(2 * len(points) + 2)
+        inside = np.zeros(len(points) + 2, np.int8)
+        inside[1:-1] = kind > 0
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        prefix, digits = np.zeros(len(points) + 1, np.uint64), np.zeros(len(points) + 1, np.int64)
+        np.cumsum((self.lower[points].astype(np.uint64) + np.uint64(1)) * self.powers[: len(points)], out=prefix[1:])
+        np.cumsum(kind == 2, out=digits[1:])
+        code = (prefix[end] - prefix[start]) * self.inverse[start]
+        code ^= code >> np.uint64(31)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        code ^= code >> np.uint64(29)
+        code[digits[end] - digits[start] == end - start] = 2
+        return start, end, code
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of each word, and the hash of the window that begins with each."""
+        text = text or ""
+        plain = text.isascii()
+        start, end, code = self.codes(np.frombuffer(text.encode() if plain else text.encode("utf-32-le", "surrogatepass"), np.uint8 if plain else np.uint32))
+        maybe = np.flatnonzero(self.low[(code & np.uint64(0xFFFF)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.fixed, code[maybe]), len(self.fixed) - 1)
+            hit = self.fixed[at] == code[maybe]
+            code[maybe[hit]] = self.fixed_as[at[hit]]
+        n = len(code) - self.size + 1
+        if n <= 0:
+            return start, end, np.zeros(0, np.int64)
+        if len(code) + 1 > len(self.powers):
+            self._powers(2 * len(code) + 2)
+        prefix = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(code * self.powers[: len(code)], out=prefix[1:])
+        out = (prefix[self.size :] - prefix[:n]) * self.inverse[:n]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
-        return out ^ (out >> np.uint64(32))
+        return start, end, (out ^ (out >> np.uint64(32))).view(np.int64)
+
+    def words(self, text: str, start: np.ndarray, end: np.ndarray, at: int) -> list[str]:
+        return [text[a:b].lower() for a, b in zip(start[at : at + self.size].tolist(), end[at : at + self.size].tolist(), strict=True)]
 
 
 def consistent(a: list[str], b: list[str]) -> bool:
-    """Whether the slots of one window can be re-filled to give the other: every word of a has one counterpart in b."""
-    seen: dict[str, str] = {}
-    return all(seen.setdefault(x, y) == y for x, y in zip(a, b, strict=True))
+    """Whether the slots of one window can be re-filled one for one to give the other."""
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(a, b, strict=True))
 
 
 def _windows(items: DataFrame, key: str, passage: str, size: int) -> DataFrame:
@@ -74,11 +109,11 @@ def _windows(items: DataFrame, key: str, passage: str, size: int) -> DataFrame:
         for batch in batches:
             keys, hashes, words, at = [], [], [], []
             for k, p in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                w = words_of(p)
-                for i, h in enumerate(templates(w).view(np.int64).tolist()):
+                start, end, found = templates(p)
+                for i, h in enumerate(found.tolist()):
                     keys.append(k.as_py())
                     hashes.append(h)
-                    words.append(" ".join(w[i : i + size]))
+                    words.append(" ".join(templates.words(p, start, end, i)))
                     at.append(i)
             yield pa.record_batch([pa.array(keys, batch.column(0).type), pa.array(hashes, pa.int64()), pa.array(words, pa.string()), pa.array(at, pa.int32())], names=[key, "hash", "words", "item_at"])
 
@@ -88,7 +123,8 @@ def _windows(items: DataFrame, key: str, passage: str, size: int) -> DataFrame:
 def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, size: int = 12, most_windows: int = 1 << 20) -> DataFrame:
     """(item, doc, doc_at, item_at, verbatim): windows of `size` words of a passage whose template stands in a text.
 
-    Numbers, names and units become typed placeholders; windows of placeholders are hashed and joined,
+    Words are maximal runs of letters and digits, without case. Numbers, names and units become typed
+    placeholders by the word alone, so equal words have equal templates; windows of placeholders are hashed and joined,
     and the slots of each hit are compared: verbatim, or re-filled one for one (verbatim false); other
     hits are dropped. The windows of the stated items are counted; up to most_windows (some 100 MB in
     all) each task holds them and reads its texts once, and nothing of the corpus is shuffled. Beyond
@@ -118,14 +154,17 @@ def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item
         for batch in batches:
             found: list[tuple] = []
             for k, t in zip(batch.column(0), batch.column(1), strict=True):
-                w = words_of(t.as_py())
-                h = templates(w).view(np.int64)
+                t = t.as_py()
+                start, end, h = templates(t)
                 near = np.flatnonzero(filled[h & 0x3FFFFF])
-                for i in near[np.isin(h[near], hashes)].tolist() if len(near) else ():
-                    own = w[i : i + size]
-                    for name, at, words in known[int(h[i])]:
+                if not len(near) or not len(hashes):
+                    continue
+                at = np.minimum(np.searchsorted(hashes, h[near]), len(hashes) - 1)
+                for i in near[hashes[at] == h[near]].tolist():
+                    own = templates.words(t, start, end, i)
+                    for name, item_at, words in known[int(h[i])]:
                         if (same := own == words) or consistent(words, own):
-                            found.append((name, k.as_py(), i, at, same))
+                            found.append((name, k.as_py(), i, item_at, same))
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (item_type, batch.column(0).type, pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=[item, doc, "doc_at", "item_at", "verbatim"])
 
