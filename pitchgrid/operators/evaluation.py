@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchgrid.operators.blocks import runs_of
+
 THRESHOLDS = np.linspace(0.5, 0.95, 10)
 RECALLS = np.linspace(0, 1, 101)
 
@@ -41,21 +45,30 @@ def average_precision(truth: DataFrame, predicted: DataFrame, top: int = 100) ->
     cols = ["image_id", "category", "x1", "y1", "x2", "y2"]
     both = truth.join(images, "image_id", "left_semi").select(*cols, F.lit(None).cast("double").alias("score")).unionByName(predicted.select(*cols, "score"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, p = pdf[pdf["score"].isna()], pdf[pdf["score"].notna()].sort_values(["score", "x1", "y1"], ascending=[False, True, True], kind="stable").head(top)
-        box = ["x1", "y1", "x2", "y2"]
-        hit = _match(t[box].to_numpy(float), p[box].to_numpy(float))
-        out = pd.DataFrame({"score": p["score"].to_numpy(), "hits": [h.astype(int).tolist() for h in hit.T]}) if len(p) else pd.DataFrame({"score": [None], "hits": [None]})
-        out["image_id"], out["category"], out["truths"] = pdf["image_id"].iloc[0], pdf["category"].iloc[0], [len(t)] + [0] * (len(out) - 1)
-        return out[["image_id", "category", "score", "hits", "truths"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, keys):
+            image, category = group.column("image_id").to_numpy(), np.asarray(group.column("category").to_pandas().astype(str))
+            cuts = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (category[1:] != category[:-1]), True])
+            box, score = np.column_stack([group.column(c).to_numpy() for c in cols[2:]]), group.column("score").to_numpy(zero_copy_only=False)
+            out: list[tuple] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                s, m = score[a:b], box[a:b]
+                known = np.isnan(s)
+                p = np.flatnonzero(~known)
+                p = p[np.lexsort((m[p, 1], m[p, 0], -s[p]))][:top]
+                hit = _match(m[known], m[p]).T.astype(int).tolist()
+                out += [(int(image[a]), str(category[a]), float(s[i]), h, 0) for i, h in zip(p, hit, strict=True)]
+                out.append((int(image[a]), str(category[a]), None, None, int(known.sum())))
+            kinds = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[*keys, "score", "hits", "truths"])
 
-    hits = both.groupBy("image_id", "category").applyInPandas(run, "image_id long, category string, score double, hits array<int>, truths long")
+    keys = ["image_id", "category"]
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hits = both.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "image_id long, category string, score double, hits array<int>, truths long")
     return _curves(hits)
 
 
 def _curves(hits: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     total = hits.groupBy("category").agg(F.sum("truths").alias("n"))
     rows = hits.where("hits is not null").select("category", "image_id", "score", F.posexplode("hits").alias("k", "hit"))
     # Equal scores are one step of the curve, so no order among them matters, and steps are few per category.

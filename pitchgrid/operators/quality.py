@@ -185,25 +185,25 @@ def two_means(vectors: DataFrame, key: str, vector: str, rounds: int = 50) -> Da
 
     Only the two centres ever reach the driver."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = vectors.select(key, norm.alias("__n"), F.col(vector).alias("__raw")).where("__n > 0").select(key, F.transform("__raw", lambda x: x.cast("double") / F.col("__n")).alias("__v"))
+    unit = vectors.select(key, norm.alias("__n"), F.col(vector).alias("__raw")).where("__n > 0").select(key, F.transform("__raw", lambda x: x.cast("double") / F.col("__n")).alias("__v")).persist()
 
     def far(c: list[float]) -> Column:
         lit = F.array(*[F.lit(float(x)) for x in c])
         return F.sqrt(F.aggregate(F.zip_with("__v", lit, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
 
     def mean(rows: DataFrame) -> dict[int, list[float]]:
-        sums = rows.select("__c", F.posexplode("__v").alias("i", "x")).groupBy("__c", "i").agg(F.round(F.sum("x"), 9).alias("s")).collect()
         out: dict[int, list[float]] = {}
-        for c in {r["__c"] for r in sums}:
-            s = [r["s"] for r in sorted((r for r in sums if r["__c"] == c), key=lambda r: r["i"])]
+        for r in rows.groupBy("__c").agg(*[F.round(F.sum(F.get("__v", F.lit(i))), 9).alias(f"s{i}") for i in range(width)]).collect():
+            s = [r[f"s{i}"] for i in range(width)]
             size = math.sqrt(sum(x * x for x in s)) or 1.0
-            out[c] = [x / size for x in s]
+            out[r["__c"]] = [x / size for x in s]
         return out
 
     first = unit.orderBy(key).first()
     if first is None:
         return unit.select(key, F.lit(0).alias("cluster"))
     a = list(first["__v"])
+    width = len(a)
     b = list(unit.orderBy(F.desc(F.round(far(a), 9)), key).first()["__v"])
     seen = None
     for _ in range(rounds):

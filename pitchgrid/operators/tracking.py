@@ -23,6 +23,13 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
 
 
+def by_frame(pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """(frame, first row, end row) of rows sorted by frame."""
+    f = pdf["frame_index"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1], True]).tolist() if len(f) else [0]
+    return [(int(f[a]), a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def follow(frames: list[tuple[int, np.ndarray]], threshold: float, max_age: int) -> list[np.ndarray]:
     """Track number of each box, frame by frame: overlaps are taken from the largest down, what is left opens tracks."""
     boxes, last, ids, out, n = np.zeros((0, 4)), np.zeros(0, int), np.zeros(0, int), [], 0
@@ -54,7 +61,8 @@ def track(df: DataFrame, threshold: float = 0.25, max_age: int = 12) -> DataFram
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "det_seq"], kind="stable")
-        frames = [(int(f), g[["x1", "y1", "x2", "y2"]].to_numpy(float)) for f, g in pdf.groupby("frame_index", sort=True)]
+        at, box = by_frame(pdf), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        frames = [(f, box[a:b]) for f, a, b in at]
         pdf["local"] = np.concatenate(follow(frames, threshold, max_age)) if frames else []
         return pdf[["match_id", "frame_index", "det_seq", "class_name", "local"]]
 
@@ -74,10 +82,11 @@ def byte_track(df: DataFrame, high: float = 0.5, low: float = 0.1, first: float
         pdf = pdf.sort_values(["frame_index", "det_seq"], kind="stable")
         tracks: list[dict] = []
         n, ids = 0, []
-        for f, g in pdf.groupby("frame_index", sort=True):
-            box, score = g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["score"].to_numpy(float)
+        every, scores = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["score"].to_numpy(float)
+        for f, lo, hi in by_frame(pdf):
+            box, score = every[lo:hi], scores[lo:hi]
             tracks = [t for t in tracks if f - t["last"] <= buffer]
-            mine = np.full(len(g), -1)
+            mine = np.full(len(box), -1)
             free = set(range(len(tracks)))
             guess = np.array([t["box"] + t["speed"] * (f - t["last"]) for t in tracks]).reshape(-1, 4)
             for part, least in ((np.flatnonzero(score >= high), first), (np.flatnonzero((score >= low) & (score < high)), second)):
@@ -147,7 +156,8 @@ def ball_path(df: DataFrame, preferred_area: float = 650.0, w_area: float = 1.0,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_index", "r"])
-        layers = [(int(f), g["cost"].to_numpy(), g[["cx", "cy"]].to_numpy(), g["det_seq"].to_numpy()) for f, g in pdf.groupby("frame_index", sort=True)]
+        c, p, s = pdf["cost"].to_numpy(), pdf[["cx", "cy"]].to_numpy(), pdf["det_seq"].to_numpy()
+        layers = [(f, c[a:b], p[a:b], s[a:b]) for f, a, b in by_frame(pdf)]
         cost, back = layers[0][1], []
         for (f0, _, p0, _), (f1, c1, p1, _) in zip(layers, layers[1:]):
             allowed = max(jump, 1e-9) * max(1, f1 - f0)

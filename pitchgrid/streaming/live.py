@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """A stream over the parquet files of a table."""
+    """A stream over the parquet files of a table. Times without a zone are taken in the session's, as watermarks need."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    pattern = path[:-1] + f"[{path[-1]}]"  # a pattern takes a table of one file as well as a folder
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(pattern)
+    return rows.withColumns({c: F.col(c).cast("timestamp") for c, kind in rows.dtypes if kind == "timestamp_ntz"})
 
 
 def windowed_counts(events: DataFrame, at: str, late: str, size: str, slide: str | None, keys: list[str]) -> DataFrame:
