@@ -1,4 +1,4 @@
-"""Greedy folds over small ordered groups, as JVM array aggregates.
+"""Greedy folds over ordered groups, as JVM array aggregates where the groups are small.
 
 A group is a frame and class, or the events of one key, whose size is that of a frame or of an
 entity's events, not of the corpus.
@@ -6,12 +6,15 @@ entity's events, not of the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import Box, containment, distance, iou
+from pitchgrid.operators.blocks import runs_of
 
 
 def greedy(df: DataFrame, keys: Sequence[str], order: Sequence[Column], clash: Callable[[Column, Column], Column], limit: int | None = None) -> DataFrame:
@@ -31,9 +34,32 @@ def greedy(df: DataFrame, keys: Sequence[str], order: Sequence[Column], clash: C
 
 
 def suppress(df: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Non-maximum suppression per frame and class: by score, a box goes that overlaps a kept one by threshold."""
-    clash = lambda k, r: iou(Box.field(k), Box.field(r)) >= threshold
-    return greedy(df, ["match_id", "frame_index", "class_name"], [-F.col("score"), F.col("det_seq")], clash)
+    """Non-maximum suppression per frame and class: by score, a box goes that overlaps a kept one by threshold.
+
+    Frames can hold thousands of candidates, for which an interpreted array fold is too slow: sorted
+    groups stream through Arrow, and each kept box is compared with all that follow at once."""
+    keys = ["match_id", "frame_index", "class_name"]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, keys):
+            code = [group.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in code], axis=0), True])
+            box = np.column_stack([group.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
+            area = np.clip(box[:, 2] - box[:, 0], 0, None) * np.clip(box[:, 3] - box[:, 1], 0, None)
+            keep = np.ones(len(box), bool)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                for i in range(a, b - 1):
+                    if keep[i]:
+                        rest = slice(i + 1, b)
+                        w = np.minimum(box[i, 2], box[rest, 2]) - np.maximum(box[i, 0], box[rest, 0])
+                        h = np.minimum(box[i, 3], box[rest, 3]) - np.maximum(box[i, 1], box[rest, 1])
+                        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+                        union = area[i] + area[rest] - inter
+                        keep[rest] &= ~((inter > 0) & (union > 0) & (inter >= threshold * union))
+            yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, F.desc("score"), "det_seq").mapInArrow(run, df.schema)
 
 
 def suppress_robots(

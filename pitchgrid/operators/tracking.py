@@ -40,10 +40,9 @@ def follow(frames: list[tuple[int, np.ndarray]], threshold: float, max_age: int)
         if len(boxes) and len(now):
             m = _iou_matrix(now, boxes)
             taken = np.zeros(len(boxes), bool)
-            for flat in np.argsort(-m, axis=None, kind="stable"):
-                i, j = divmod(int(flat), len(boxes))
-                if m[i, j] < threshold:
-                    break
+            near = np.flatnonzero(m >= threshold)
+            for flat in near[np.argsort(-m.ravel()[near], kind="stable")].tolist():
+                i, j = divmod(flat, len(boxes))
                 if mine[i] < 0 and not taken[j]:
                     mine[i], taken[j] = ids[j], True
                     boxes[j], last[j] = now[i], frame
