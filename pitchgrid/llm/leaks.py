@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchgrid.session import spread
+
 #: Words that stand for a unit, and for a name in re-worded questions.
 UNITS = frozenset("m cm mm km ft in s ms min h hz fps px kg g v a w deg rad m2 kmh mph percent meters metres seconds minutes hours frames pixels degrees".split())
 NAMES = frozenset("alice bob carol dave eve frank grace john mary peter paul anna maria james linda michael sara tom".split())
@@ -171,4 +173,4 @@ def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(items.schema[item].dataType)
-    return docs.select(doc, text).mapInArrow(scan, f"`{item}` {kinds[1]}, `{doc}` {kinds[0]}, doc_at int, item_at int, verbatim boolean")
+    return spread(docs.select(doc, text)).mapInArrow(scan, f"`{item}` {kinds[1]}, `{doc}` {kinds[0]}, doc_at int, item_at int, verbatim boolean")

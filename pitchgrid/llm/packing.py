@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.operators.blocks import runs_of
-from pitchgrid.session import checkpointed, partitions_for
+from pitchgrid.session import checkpointed, partitions_for, spread
 
 #: Fixed values of the public byte-level BPE vocabulary: how it cuts text into pieces before merging.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,7 +54,7 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
             n = [counter(t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=[key, "tokens"])
 
-    return df.select(key, text).mapInArrow(count, f"`{key}` {dict(df.dtypes)[key]}, tokens long")
+    return spread(df.select(key, text)).mapInArrow(count, f"`{key}` {dict(df.dtypes)[key]}, tokens long")
 
 
 def _pack(sizes: list[int], capacity: int, windows: int) -> tuple[list[int], list[int], set[int]]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pitchgrid.session import checkpointed, partitions_for
+from pitchgrid.session import checkpointed, partitions_for, spread
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -197,7 +197,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
         if held:
             yield from flushed()
 
-    rows = texts.mapInArrow(emit, f"key long, `{doc}` {kind}, sure boolean")
+    rows = spread(texts).mapInArrow(emit, f"key long, `{doc}` {kind}, sure boolean")
     met = _meeting(rows, n, ["key"], doc).groupBy(doc).agg(F.collect_set("key").alias("anchors"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
