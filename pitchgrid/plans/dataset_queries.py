@@ -233,7 +233,7 @@ def precision(images: DataFrame, dets: DataFrame) -> DataFrame:
     valid = dets.join(images, "image_id").where(D.box_problem().isNull())
     truth = valid.select("image_id", F.col("class_name").alias("category"), "x1", "y1", "x2", "y2")
     shift = F.col("det_index") % 4
-    predicted = valid.where("image_id % 3 <> 0").select("image_id", F.col("class_name").alias("category"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2", F.round("score", 4).alias("score"))
+    predicted = valid.where("score >= 0.6").select("image_id", F.col("class_name").alias("category"), (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2", F.round("score", 4).alias("score"))
     return evaluation.average_precision(truth, predicted)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchgrid.plans import core_queries, dataset_queries, match_queries
+from pitchgrid.plans import core_queries, dataset_queries, extra_queries, match_queries
 
-MODULES = [core_queries, match_queries, dataset_queries]
+MODULES = [core_queries, match_queries, dataset_queries, extra_queries]
 FLAGSHIP = match_queries.QUERIES["AGG05_possession_by_team"]
 
 
