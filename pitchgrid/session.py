@@ -47,12 +47,13 @@ def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     return least if size >= 1 << 55 else max(least, min(200_000, -(-size // bytes_each)))  # 2^55: Spark's "unknown"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for work in Python that costs far more than moving the rows. Inputs that their files already cut into as many pieces stay as they are."""
+def spread(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df over all cores, for work in Python that costs far more than moving the rows. Inputs that their files already cut into
+    as many pieces stay as they are. of: the scan df comes from; Spark takes a projection for smaller than the column it keeps."""
     spark = df.sparkSession
     each = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < cores * each else df
+    return df.repartition(cores) if plan_bytes(of) < cores * each else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
