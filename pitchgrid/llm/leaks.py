@@ -173,4 +173,4 @@ def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(items.schema[item].dataType)
-    return spread(docs.select(doc, text)).mapInArrow(scan, f"`{item}` {kinds[1]}, `{doc}` {kinds[0]}, doc_at int, item_at int, verbatim boolean")
+    return spread(docs.select(doc, text), docs).mapInArrow(scan, f"`{item}` {kinds[1]}, `{doc}` {kinds[0]}, doc_at int, item_at int, verbatim boolean")

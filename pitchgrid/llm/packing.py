@@ -54,7 +54,7 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
             n = [counter(t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=[key, "tokens"])
 
-    return spread(df.select(key, text)).mapInArrow(count, f"`{key}` {dict(df.dtypes)[key]}, tokens long")
+    return spread(df.select(key, text), df).mapInArrow(count, f"`{key}` {dict(df.dtypes)[key]}, tokens long")
 
 
 def _pack(sizes: list[int], capacity: int, windows: int) -> tuple[list[int], list[int], set[int]]:

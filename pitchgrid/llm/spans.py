@@ -148,7 +148,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
     positions some shift up to the period brings both onto the cover, so two texts that share `least`
     characters share an aligned anchor inside them. Texts with an anchor of another text keep the stretches
     around it; there the spans of exactly `least` characters that begin or end with an anchor are compared
-    (128 bits of hash). Anchors around which starts are left that these do not cover stay open in all
+    (96 bits of two hashes). Anchors around which starts are left that these do not cover stay open in all
     texts that have them, and there every start is compared, so that spans are found to the character. A row of a shared value goes once to its partition from each task.
 
     Rows of one doc are one text for another's sake: they never share with each other. Null, empty and
@@ -164,7 +164,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
 
     def anchors(rolling: Rolling, value: str) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.resize(mask, len(value) - window + 1))
-        return at, rolling.at(rolling.prefixes(value, 0), at, window, 0)
+        return at, rolling.at(rolling.prefixes(value, 0), at, window, 0) & 0xFFFFFFFFFFFF  # 48 bits: what meets by chance falls out below
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, held, size = Rolling(), [], 0
@@ -179,9 +179,12 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
             keep = pa.array(list(code_of), doc_type).take(pa.array(code))
             extra = np.zeros(len(key), bool)
             extra[heads] = True
-            # Every row that is sure goes with its text; one row of each key goes with the key.
+            # Every row that is sure goes with its text; one row of each key goes with the key. In the
+            # order of the texts, so that the names of texts take little room in the shuffle.
             rows = np.concatenate([np.flatnonzero(sure), np.flatnonzero(extra)])
             flag = np.r_[np.ones(int(sure.sum()), bool), np.zeros(int(extra.sum()), bool)]
+            by_text = np.argsort(rows, kind="stable")
+            rows, flag = rows[by_text], flag[by_text]
             for i in range(0, len(rows), 200_000):
                 r = rows[i : i + 200_000]
                 yield pa.record_batch([pa.array(key[r]), keep.take(pa.array(r)), pa.array(flag[i : i + 200_000])], names=["key", doc, "sure"])
@@ -197,7 +200,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
         if held:
             yield from flushed()
 
-    rows = spread(texts).mapInArrow(emit, f"key long, `{doc}` {kind}, sure boolean")
+    rows = spread(texts, docs).mapInArrow(emit, f"key long, `{doc}` {kind}, sure boolean")
     met = _meeting(rows, n, ["key"], doc).groupBy(doc).agg(F.collect_set("key").alias("anchors"))
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +235,7 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
                     p = choose(b, i, len(piece))
                     if len(p):
                         keys.append(rolling.at(rolling.prefixes(piece, 0), p, least, 0))
-                        checks.append(rolling.at(rolling.prefixes(piece, 1), p, least, 1))
+                        checks.append(rolling.at(rolling.prefixes(piece, 1), p, least, 1).astype(np.int32))
                         ats.append(p + b["start"][i])
                         codes.append(np.full(len(p), len(names)))
                         names.append(b[doc][i])
@@ -247,12 +250,14 @@ def shared_spans(docs: DataFrame, doc: str, text: str, least: int = 300, flush:
                 extra |= ~sure
                 r = np.concatenate([np.flatnonzero(sure), np.flatnonzero(extra)])
                 flag = np.r_[np.ones(int(sure.sum()), bool), np.zeros(int(extra.sum()), bool)]
+                by_text = np.argsort(r, kind="stable")
+                r, flag = r[by_text], flag[by_text]
                 who = pa.array(names, doc_type).take(pa.array(code[r]))
                 yield pa.record_batch([pa.array(key[r]), pa.array(check[r]), who, pa.array(at[r]), pa.array(flag)], names=["key", "check", doc, "span", "sure"])
 
         return hashed
 
-    shape = f"key long, check long, `{doc}` {kind}, span long, sure boolean"
+    shape = f"key long, check int, `{doc}` {kind}, span long, sure boolean"
 
     def found(source: DataFrame, choose) -> DataFrame:  # noqa: ANN001
         return _meeting(source.mapInArrow(spans_at(choose), shape), n, ["span"], doc).distinct()
