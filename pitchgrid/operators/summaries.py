@@ -33,7 +33,7 @@ def match_summary(df: DataFrame) -> DataFrame:
 def class_summary(df: DataFrame, in_play: DataFrame) -> DataFrame:
     """Per class: size, tracks, score, coverage of its frame range, gaps; for balls also rows and frames in play."""
     base = df.groupBy("match_id", "class_name").agg(
-        F.count(F.lit(1)).alias("detections"), F.countDistinct("track_id").alias("tracks"), six(F.avg("score")).alias("mean_score"), F.countDistinct("frame_index").alias("frames"),
+        F.count(F.lit(1)).alias("detections"), F.countDistinct("track_id").alias("tracks"), six(F.avg("score") + 1e-9).alias("mean_score"), F.countDistinct("frame_index").alias("frames"),
         six(F.countDistinct("frame_index") / (F.max("frame_index") - F.min("frame_index") + 1)).alias("coverage"),
     )
     gaps = track_gaps(df).groupBy("match_id", "class_name").agg(F.sum("gaps").alias("gaps"))

@@ -365,7 +365,7 @@ def match_summary(d: DataFrame) -> DataFrame:
     return summaries.match_summary(d)
 
 
-@q("AGG02_class_summary", f"""{W}, {GAPS}, {PLAY}, c AS (SELECT match_id, class_name, count(*) AS detections, count(DISTINCT track_id) AS tracks, round(avg(score), 6) AS mean_score, count(DISTINCT frame_index) AS frames,
+@q("AGG02_class_summary", f"""{W}, {GAPS}, {PLAY}, c AS (SELECT match_id, class_name, count(*) AS detections, count(DISTINCT track_id) AS tracks, round(avg(score) + 1e-9::DOUBLE, 6) AS mean_score, count(DISTINCT frame_index) AS frames,
   round(count(DISTINCT frame_index) / (max(frame_index) - min(frame_index) + 1), 6) AS coverage FROM det GROUP BY 1, 2)
 SELECT c.*, coalesce(g.gaps, 0) AS gaps, coalesce(p.n, 0) AS in_play_detections, coalesce(p.f, 0) AS in_play_frames FROM c LEFT JOIN (SELECT match_id, class_name, sum(gaps)::BIGINT AS gaps FROM tg GROUP BY 1, 2) g USING (match_id, class_name)
 LEFT JOIN (SELECT match_id, class_name, count(*) AS n, count(DISTINCT frame_index) AS f FROM play GROUP BY 1, 2) p USING (match_id, class_name)""")

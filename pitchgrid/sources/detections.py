@@ -45,7 +45,8 @@ def typed(raw: DataFrame, order: str = "det_id") -> DataFrame:
     rows = raw.where("match_id is not null and frame_index is not null and class_name is not null and score >= 0 and score <= 1 and size(box) = 4").where(finite)
     rest = [order, "prompt", "object_id", "track_id", "team", "mask_path", "area", "extra"]
     keys = ["match_id", "frame_index", F.lower(F.trim("class_name")).alias("class_name"), "score", "box"]
-    one = rows.groupBy(*keys).agg(F.min(F.struct(order, *rest[1:])).alias("r"))
+    # Rows move once, by frame: the deduplication and every join or window within a frame find them in place.
+    one = rows.repartition("match_id", "frame_index").groupBy(*keys).agg(F.min(F.struct(order, *rest[1:])).alias("r"))
     b = [F.get("box", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
     flat = one.select("match_id", "frame_index", F.col(f"r.{order}").alias("det_seq"), "class_name", "score", *b, *[f"r.{c}" for c in rest[1:]])
     text = lambda k: F.get_json_object("extra", f"$.{k}")
