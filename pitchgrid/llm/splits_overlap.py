@@ -41,7 +41,7 @@ def passage_matches(train: DataFrame, held_out: DataFrame, near: int = 2, width:
     shard = F.pmod(F.xxhash64("clip", "__stretch"), F.lit(n)).alias("__shard")
     passages = held_out.select("clip", "frame").distinct().withColumn("__stretch", F.floor(F.col("frame") / width)).select(shard, "clip", "frame")
     texts = train.select("clip", "frame").distinct()
-    texts = texts.withColumn("__stretch", F.explode(F.sequence(F.floor((F.col("frame") - near) / width), F.floor((F.col("frame") + near) / width)))).select(shard, "clip", "frame")
+    texts = texts.withColumn("__stretch", F.explode(F.sequence(F.floor((F.col("frame") - near) / width), F.floor((F.col("frame") + near) / width)))).select(shard, "clip", "frame").distinct()  # both stretches of a frame may share a shard
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         automaton = ahocorasick.Automaton()
