@@ -56,11 +56,12 @@ def ball_context_reason(df: DataFrame, overlap: float = 0.20, require_context: b
 def balls_in_play(df: DataFrame, radius: float = 90.0, margin: float = 8.0) -> DataFrame:
     """Balls whose centre lies in a field box or near a robot."""
     balls = df.where(is_in(BALLS))
-    near = boxes(df, FIELD, "o_").withColumn("o_robot", F.lit(False)).union(boxes(df, ROBOTS, "o_").withColumn("o_robot", F.lit(True)))
+    # One scan for both roles: a union of two branches over one exchange can meet the join with another number of partitions.
+    near = boxes(df, FIELD + ROBOTS, "o_", ("class_name",))
     close = distance(F.col("cx"), F.col("cy"), F.col("o_cx"), F.col("o_cy")) <= radius
     hit = (balls["match_id"] == near["match_id"]) & (balls["frame_index"] == near["frame_index"])
     inside = point_in_box(F.col("cx"), F.col("cy"), Box.of("o_"), margin)
-    return balls.join(near, hit & F.when(F.col("o_robot"), close).otherwise(inside), "left_semi")
+    return balls.join(near, hit & F.when(is_in(ROBOTS, "o_class_name"), close).otherwise(inside), "left_semi")
 
 
 def blobs_off_robots(df: DataFrame, margin: float = 8.0) -> DataFrame:

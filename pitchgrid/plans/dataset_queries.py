@@ -252,13 +252,14 @@ def run_summary(d: DataFrame) -> DataFrame:
     teams = S.team_coverage(d, ROBOTS).select(F.col("match_id").alias("run"), F.col("samples").alias("team_samples"), F.col("assigned").alias("team_assigned"), F.round(1 - F.col("ratio"), 6).alias("unknown_team"))
     path = M.M.placed(d.where(is_in(BALLS)), M.PITCH).groupBy(F.col("match_id").alias("run")).agg(F.count(F.lit(1)).alias("path_samples"), F.round(F.avg((~F.col("inside_field")).cast("double")), 6).alias("out_of_bounds"))
     pen = M.penalty(d).groupBy(F.col("match_id").alias("run")).agg(F.sum("samples").alias("penalty_samples"))
-    goals = M.goal_hits(d).groupBy(F.col("match_id").alias("run")).agg(F.count(F.lit(1)).alias("goal_candidates"))
+    # Each candidate is one row here, confirmed or rejected; hits of the same entry on later frames are no candidates of their own.
+    goals = M.goal_confirmation(d).groupBy(F.col("match_id").alias("run")).agg(F.count(F.lit(1)).alias("goal_candidates"), F.sum((F.col("event_type") == "goal_confirmed").cast("long")).alias("goals_confirmed"))
     shot = M.shots(d).groupBy(F.col("match_id").alias("run")).agg(F.count(F.lit(1)).alias("shots"))
     rows = base
     for part in (seen(FIELD, "f"), seen(ROBOTS, "r"), balls, steps, owned, teams, path, pen, goals, shot):
         rows = rows.join(part, "run", "left")
     ratio = lambda c: F.round(F.coalesce(F.col(c), F.lit(0)) / F.col("span"), 6)
-    rows = rows.withColumns({"ball_coverage": ratio("b"), "field_coverage": ratio("f"), "robot_coverage": ratio("r"), "goals_confirmed": F.lit(0).cast("long")}).drop("span", "b", "f", "r")
+    rows = rows.withColumns({"ball_coverage": ratio("b"), "field_coverage": ratio("f"), "robot_coverage": ratio("r")}).drop("span", "b", "f", "r")
     return rows.fillna(0)
 
 
