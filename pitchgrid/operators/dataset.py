@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import hash_bucket
 from pitchgrid.operators.filters import best_per
+from pitchgrid.operators.folds import apart
 from pitchgrid.session import table
 
 
@@ -144,6 +145,18 @@ def balanced_take(df: DataFrame, group: str, identity: Column, limit: int, seed:
     return rows.where(F.col("turn") <= limit).orderBy("turn", "__g", "__d").limit(limit).drop("__d", "__g")
 
 
+def balanced_take_with_gap(df: DataFrame, group: str, identity: Column, at: str, gap: int, limit: int | None = None, seed: str = "7", tier: str = "a") -> DataFrame:
+    """Round robin over the groups, a turn each, every image at least `gap` from those of its group taken before.
+
+    The gap holds within a group only, so a group's turns need no other group; all turns in order of
+    (turn, group_digest) are the round robin, and `limit` is its beginning."""
+    rows = df.withColumn("__d", digest(seed, tier, F.col(group), identity)).withColumn("__id", identity)
+    rows = apart(rows, [group], ["__d", "__id"], at, gap).withColumn("group_digest", digest(seed, tier, "group", F.col(group)))
+    if limit is not None:
+        rows = rows.where(F.col("turn") < limit).orderBy("turn", "group_digest").limit(limit)
+    return rows.drop("__d", "__id")
+
+
 def coco_categories(detections: DataFrame) -> DataFrame:
     """Stable ids by sorted name; the vocabulary is a handful of names."""
     names = detections.select("class_name").where("class_name is not null").distinct()

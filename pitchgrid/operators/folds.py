@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitchgrid.functions.geometry import Box, containment, distance, iou
 from pitchgrid.operators.blocks import runs_of
@@ -117,6 +118,35 @@ def spaced(df: DataFrame, keys: Sequence[str], at: str, gap: int | Column, limit
     return packed.select(*keys, F.explode(kept).alias("__k")).select(*keys, *[F.col(f"__k.{c}").alias(c) for c in cols])
 
 
+def apart(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, gap: int) -> DataFrame:
+    """Each group walked in order: a row is taken unless one taken before lies less than `gap` from it; `turn` counts those taken, from 0.
+
+    Sorted groups stream through Arrow. Of each stretch of `gap` one row at most is taken, so that three
+    stretches tell whether a row fits, however many are taken."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, gap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken, count = None, {}, 0
+        for batch in batches:
+            places, turns = [], []
+            rows = zip(zip(*[batch.column(k).to_pylist() for k in keys], strict=True), batch.column(at).to_pylist(), strict=True)
+            for i, (key, x) in enumerate(rows):
+                if key != group:
+                    group, taken, count = key, {}, 0
+                s = x // width
+                if gap > 0 and any(abs(x - taken[k]) < gap for k in (s - 1, s, s + 1) if k in taken):
+                    continue
+                taken[s] = x
+                places.append(i)
+                turns.append(count)
+                count += 1
+            out = batch.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(turns, pa.int32())], names=[*batch.schema.names, "turn"])
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("turn", T.IntegerType())]))
+
+
 def clusters(df: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
     """Boxes walked by score; each joins the first cluster with a member within reach, else opens one. One united box per cluster."""
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_seq", "score", "x1", "y1", "x2", "y2", "cx", "cy"))).alias("__all"))

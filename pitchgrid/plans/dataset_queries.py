@@ -149,19 +149,16 @@ def holdout_take(images: DataFrame, _: DataFrame) -> DataFrame:
 
 @q("DST07_review_gap")
 def review_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each recording, images in digest order of which none lies within 30 frames of one taken before, up to 12 a recording."""
-    i = table(spark, sf_dir, "manifest_images").where("source_group is not null and frame_index is not null").select(_path("source_group").alias("group"), "frame_index", "image_id", "has_ball")
-    i = i.withColumn("d", D.digest("7", F.col("image_id")))
-    # A fold needs a recording's candidates together: they are cut to one of each frame, the first by digest.
-    one = best_per(i, ["group", "frame_index"], [F.col("d")]).drop("rank")
-    packed = one.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("d", "frame_index", "image_id", "has_ball"))).alias("all"))
-
-    def step(kept: Column, row: Column) -> Column:
-        fits = (F.size(kept) < 12) & ~F.exists(kept, lambda k: F.abs(k["frame_index"] - row["frame_index"]) < 30)
-        return F.when(fits, F.concat(kept, F.array(row))).otherwise(kept)
-
-    out = packed.select("group", F.posexplode(F.aggregate("all", F.slice("all", 1, 0), step)).alias("turn", "k"))
-    return out.select("group", "turn", "k.image_id", "k.frame_index", "k.has_ball")
+    """Images with a ball to verify its mask, and images without to verify its absence, each as a round robin over the recordings
+    in which none lies within 30 frames of one taken before. The rows in order of (turn, group_digest) are the sampler's order;
+    its overall limits are the caller's, and any limit is the beginning of that order."""
+    t = table(spark, sf_dir, "manifest_images")
+    recording = F.coalesce(_path("source_group"), F.regexp_replace(_path("video"), r"_f[0-9]+-[0-9]+(\.[a-z0-9]+)?$", "$1"))
+    i = t.select(recording.alias("group"), "frame_index", "image_id", "has_ball").where("group is not null and frame_index is not null")
+    seen = F.coalesce("has_ball", F.lit(False))
+    take = lambda rows, tier: D.balanced_take_with_gap(rows, "group", F.col("image_id"), "frame_index", 30, tier=tier)
+    both = take(i.where(seen), "positive").withColumn("task", F.lit("verify_mask")).unionByName(take(i.where(~seen), "negative").withColumn("task", F.lit("verify_absence")))
+    return both.select("task", "group", "turn", "group_digest", "image_id", "frame_index", "has_ball")
 
 
 @q("DST08_review_audit", """SELECT split_state, task, count(*) AS images, sum(CASE WHEN ready THEN 1 ELSE 0 END)::BIGINT AS ready FROM (
