@@ -36,16 +36,27 @@ def blocked_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     return null_safe(df, offsets, [*keys, block]).withColumn(name, (F.col("__before") + inside).cast("long")).drop("__before")
 
 
-def rank_blocks(df: DataFrame, keys: Sequence[str], order: str, width: int, block: int, halo: int) -> DataFrame:
-    """Adds __rank, __block (of `block` successive rows) and __core; rows near a border also stand, not as core, in the next block.
+def block_rows(df: DataFrame, key: str, order: str, width: int, block: int, halo: int, ranked: bool = False) -> DataFrame:
+    """Rows in blocks of `block` successive ones of a key, sorted by (key, __block, order), for work on one block at a time.
 
-    order: an integer column, unique within keys, cut into stretches of `width` for the ranking.
+    Adds __block and __core; rows within `halo` of a border also stand, not as core, in the block beyond
+    it. key and order are not null and order is a whole number, unique within the key: stretches of
+    `width` of it are numbered apart and their sizes summed, so no window spans a key. ranked: order is
+    the row's number in its key already.
     """
-    cut = df.withColumn("__cut", F.floor(F.col(order) / width))
-    ranked = blocked_row_number(cut, keys, [F.col(order)], "__cut", "__rank").drop("__cut")
-    own = F.floor((F.col("__rank") - 1) / block)
-    low, high = F.greatest(F.lit(0), F.floor((F.col("__rank") - 1 - halo) / block)), F.floor((F.col("__rank") - 1 + halo) / block)
-    return ranked.withColumn("__own", own).withColumn("__block", F.explode(F.sequence(low, high))).withColumn("__core", F.col("__block") == F.col("__own")).drop("__own")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranked:
+        rows = df.withColumn("__rank", F.col(order))
+    else:
+        cut = df.withColumn("__cut", F.floor(F.col(order) / width)).repartition(n, key, "__cut")
+        sizes = cut.groupBy(key, "__cut").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy(key).orderBy("__cut")) - F.col("__n")
+        rows = cut.join(sizes.select(key, "__cut", before.alias("__before")), [key, "__cut"])
+        rows = rows.withColumn("__rank", F.col("__before") + F.row_number().over(Window.partitionBy(key, "__cut").orderBy(order))).drop("__cut", "__before")
+    own, of = F.floor((F.col("__rank") - 1) / block), lambda shift: F.floor((F.col("__rank") - 1 + shift) / block)
+    rows = rows.withColumns({"__own": own, "__in": F.sequence(F.greatest(F.lit(0), of(-halo)), of(halo))})
+    rows = rows.withColumn("__block", F.explode("__in")).withColumn("__core", F.col("__block") == F.col("__own")).drop("__own", "__in", "__rank")
+    return rows.repartition(n, key, "__block").sortWithinPartitions(key, "__block", order)
 
 
 def runs_of(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:

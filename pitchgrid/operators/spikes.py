@@ -9,185 +9,281 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchgrid.operators.blocks import blocked_row_number, null_safe, rank_blocks, runs_of
-
-
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Inverse of the standard normal distribution, by bisection on erf's complement (6 digits)."""
-    from math import erf
-
-    lo, hi = np.full(p.shape, -9.0), np.full(p.shape, 9.0)
-    cdf = np.vectorize(lambda z: 0.5 * (1 + erf(z / 2**0.5)))
-    for _ in range(45):
-        mid = (lo + hi) / 2
-        below = cdf(mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
-
-
-def _t_quantile(p: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """Student's t quantile by the Cornish-Fisher expansion around the normal one."""
-    z = _normal_quantile(p)
-    g1, g2 = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    g3 = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    return z + g1 / df + g2 / df**2 + g3 / df**3
-
-
-_LIMITS: dict[tuple[int, float], np.ndarray] = {}
-
-
-def gesd_limits(n: int, alpha: float) -> np.ndarray:
-    """Critical values of the generalised extreme studentised deviate test for 1..n/3 outliers among n."""
-    if (n, alpha) not in _LIMITS:
-        if len(_LIMITS) > 5000:
-            _LIMITS.clear()
-        i = np.arange(1, max(1, n // 3) + 1)
-        df = np.maximum(n - i - 1, 1).astype(float)
-        t = _t_quantile(1 - alpha / (2 * (n - i + 1)), df)
-        _LIMITS[n, alpha] = (n - i) * t / np.sqrt((df + t**2) * (n - i + 1))
-    return _LIMITS[n, alpha]
-
-
-def gesd(residual: np.ndarray, floor: float, alpha: float = 0.05) -> np.ndarray:
-    """Flags of the residuals beyond the limits; floor: least standard deviation (that of rounding to the step of the readings)."""
-    n, out = len(residual), np.zeros(len(residual), bool)
-    if n < 5:
-        return np.abs(residual) > 0  # too few to test: left to the exact check
-    limits = gesd_limits(n, alpha)
-    order = np.argsort(-np.abs(residual - np.median(residual)), kind="stable")[: len(limits)]
-    x = residual[order]
-    left, total, squares = n, residual.sum(), (residual**2).sum()
-    last = -1
-    for i, v in enumerate(x):
-        mean = total / left
-        sd = max(floor, np.sqrt(max(0.0, (squares - left * mean**2) / max(1, left - 1))))
-        if abs(v - mean) > limits[i] * sd:
-            last = i
-        left, total, squares = left - 1, total - v, squares - v * v
-    out[order[: last + 1]] = True
+from pitchgrid.operators.blocks import block_rows, blocked_row_number, runs_of
+from pitchgrid.session import checkpointed
+
+BINS = 8  # logarithmic bins to a doubling
+
+
+def gesd_limit(n: Column, i: Column, alpha: float = 0.05) -> Column:
+    """Critical value of the generalised extreme studentised deviate test for the i-th outlier among n.
+
+    Normal quantile by the rational approximation of Abramowitz and Stegun (26.2.23), Student's t by
+    the Cornish-Fisher expansion around it.
+    """
+    tail = F.lit(alpha) / (2 * (n - i + 1))
+    q = F.sqrt(-2 * F.log(tail))
+    z = q - (2.515517 + 0.802853 * q + 0.010328 * q * q) / (1 + 1.432788 * q + 0.189269 * q * q + 0.001308 * q * q * q)
+    df = F.greatest(n - i - 1, F.lit(1)).cast("double")
+    t = z + (F.pow(z, 3) + z) / (4 * df) + (5 * F.pow(z, 5) + 16 * F.pow(z, 3) + 3 * z) / (96 * df * df)
+    return (n - i) * t / F.sqrt((df + t * t) * (n - i + 1))
+
+
+def running_median(values: np.ndarray, width: int = 15) -> np.ndarray:
+    """Median, of each column, of the `width` (odd) rows around each row; near the ends of as many as stand on both sides."""
+    n, half = len(values), width // 2
+    out = np.array(values, dtype=float)
+    middle = lambda part, k: np.partition(part, k, axis=-1)[..., k]
+    if n >= width:
+        out[half : n - half] = middle(np.lib.stride_tricks.sliding_window_view(values, width, axis=0), half)
+    for i in range(1, min(half, (n + 1) // 2)):
+        out[i], out[n - 1 - i] = middle(values[: 2 * i + 1].T, i), middle(values[n - 1 - 2 * i :].T, i)
     return out
 
 
-def decompose(values: np.ndarray, width: int = 9, period: int = 10) -> np.ndarray:
-    """What remains after a robust trend (running median) and, where it is marked, a season (medians by phase)."""
-    n = len(values)
-    if n < 3:
-        return np.zeros(n)
-    half = min(width // 2, (n - 1) // 2)
-    padded = np.concatenate([np.full(half, np.median(values[: half + 1])), values, np.full(half, np.median(values[-half - 1 :]))])
-    detrended = values - np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)
-    if n < 6 * period:
-        return detrended
-    phase = np.arange(n) % period
-    season = np.array([np.median(detrended[phase == p]) for p in range(period)])
-    season -= np.median(season)
-    rest = detrended - season[phase]
+def period_of(rest: np.ndarray, most: int = 512) -> int:
+    """The period at which a detrended series agrees best with itself (0: none), from its own autocorrelation; outliers are clipped."""
+    n = len(rest)
+    spread = np.median(np.abs(rest))
+    if n < 12 or not spread > 0:
+        return 0
+    x = np.clip(rest, -4 * spread, 4 * spread)
+    x = x - x.mean()
+    power = np.abs(np.fft.rfft(x, 2 * n)) ** 2
+    last = min(most, n // 4)
+    corr = np.fft.irfft(power)[: last + 2] / n * (n / np.maximum(1, n - np.arange(last + 2)))
+    if corr[0] <= 0 or last < 2:
+        return 0
+    corr = corr / corr[0]
+    inner = np.arange(2, last + 1)
+    peaks = inner[(corr[inner] >= corr[inner - 1]) & (corr[inner] >= corr[inner + 1])]
+    if not len(peaks):
+        return 0
+    best = corr[peaks].max()
+    return int(peaks[corr[peaks] >= 0.9 * best][0]) if best >= 0.4 else 0
+
+
+def season(values: np.ndarray, ordinary: float = np.inf) -> np.ndarray:
+    """The seasonal part of a series: medians by phase of what a running median leaves, where they take away much of it and
+    never change by more than an ordinary step (a regular excursion is no season); else 0."""
+    rest = values - running_median(values)
+    period = period_of(rest)
+    if not period:
+        return np.zeros(len(values))
+    phase = np.arange(len(values)) % period
+    part = np.array([np.median(rest[phase == p]) for p in range(period)])
+    if np.abs(np.diff(part, append=part[:1])).max() > ordinary:
+        return np.zeros(len(values))
+    part = (part - np.median(part))[phase]
     spread = lambda x: np.median(np.abs(x - np.median(x)))
-    return rest if spread(rest) < 0.6 * spread(detrended) else detrended
+    return part if spread(rest - part) < 0.6 * spread(rest) else np.zeros(len(values))
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Length of the run of equal rows each row stands in, and whether it is the run's first."""
-    same = np.r_[False, (values[1:] == values[:-1]).all(axis=1)]
-    run = np.cumsum(~same) - 1
-    return np.bincount(run)[run], ~same
-
-
-def _excursions(p: np.ndarray, flagged: np.ndarray, ordinary: float, times: float, longest: int) -> np.ndarray:
-    """One to `longest` successive rows, all flagged, at least times*ordinary off the path between their neighbours, which is taken up again."""
-    n, out = len(p), np.zeros(len(p), bool)
-    i = 1
-    while i < n - 1:
-        hit = 0
-        if flagged[i]:
-            for k in range(1, longest + 1):
-                if i + k >= n or not flagged[i + k - 1]:
-                    break
-                a, b = p[i - 1], p[i + k]
-                if np.sqrt(((b - a) ** 2).sum()) > (k + 1) * ordinary:
-                    continue
-                share = np.arange(1, k + 1)[:, None] / (k + 1)
-                off = np.sqrt(((p[i : i + k] - (a + (b - a) * share)) ** 2).sum(axis=1))
-                if off.min() >= times * ordinary:
-                    hit = k
-                    break
-        out[i : i + hit] = True
-        i += max(1, hit)
-    return out
+def _size(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(axis=-1))
 
 
-def ordinary_limit(df: DataFrame, keys: Sequence[str], size: Column, gap: float = 1.8, upper: float = 0.75) -> DataFrame:
-    """Per keys the largest ordinary size: where, above the upper quartile, sizes first leave a gap of a factor `gap`.
+def _between(p: np.ndarray, at: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that have neighbours `before` and `after` rows away, and how far each lies from the straight path between them."""
+    i = np.arange(before, len(p) - after)
+    a, b = i - before, i + after
+    share = ((at[i] - at[a]) / (at[b] - at[a]))[:, None]
+    return i, _size(p[i] - (p[a] + (p[b] - p[a]) * share))
 
-    Sizes are counted in logarithmic bins (16 to a doubling), which combine before the shuffle.
-    """
-    keys = list(keys)
-    bins = df.select(*keys, size.alias("__v")).where("__v > 0").withColumn("__bin", F.floor(F.log2("__v") * 16))
-    bins = bins.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    w = Window.partitionBy(*keys).orderBy("__bin")
-    bins = bins.select(*keys, "__hi", F.lead("__lo").over(w).alias("__up"), F.sum("__n").over(w).alias("__cum"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__all"))
-    ends = F.when((F.col("__cum") >= upper * F.col("__all")) & (F.col("__up") >= gap * F.col("__hi")), F.col("__hi"))
-    return bins.groupBy(*keys).agg(F.coalesce(F.min(ends), F.max("__hi")).alias("__ordinary"))
 
+def off_path(p: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
+    """Residual of each row: its largest distance from a local trend that leaves out the row and up to longest - 1 of its neighbours."""
+    out = np.zeros(len(p))
+    for k in range(1, longest + 1):
+        for j in range(1, k + 1):
+            i, d = _between(p, at, j, k - j + 1)
+            out[i] = np.maximum(out[i], d)
+    return out
 
-def implausible(
-    df: DataFrame, source: Sequence[str], order: str, values: Sequence[str], least: str, *, times: float, stuck: int, stuck_unless: str | None = None,
-    longest: int = 3, path: bool = True, width: int = 4096, block: int = 2048,
-) -> DataFrame:
-    """Rows of df (source, order) that are spikes or stand in a stuck run.
 
-    df has one row for each (source, order) with finite values in range; `least` is the least ordinary
-    size and deviation. A robust seasonal-trend decomposition of each source leaves residuals, those
-    beyond the limits of the generalised ESD test are candidates, and an exact check decides:
-    path=True: one to `longest` readings leave the path by `times` the largest ordinary step and come
-    back; path=False: the value is `times` the largest ordinary value. Separately, rows after the first
-    of at least `stuck` equal rows (unless the column stuck_unless is true).
+def first_gap(sizes: np.ndarray, gap: float, upper: float, floor: float) -> float:
+    """The largest ordinary size: above the `upper` share, where sizes first leave a gap, of a factor and of two steps of rounding."""
+    s = np.sort(sizes)
+    if not len(s):
+        return 0.0
+    k = max(0, int(np.ceil(upper * len(s))) - 1)
+    ends = np.flatnonzero((s[k + 1 :] >= gap * s[k:-1]) & (s[k + 1 :] - s[k:-1] >= 2 * floor))
+    return float(s[k + ends[0]] if len(ends) else s[-1])
+
+
+def excursions(p: np.ndarray, at: np.ndarray, residual: np.ndarray, longest: int, large: float, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, distance, rate, residual) of every row in every stretch of 1..longest rows between two neighbours: the least distance of the
+    stretch from the straight path between them, how far they are apart per unit of `at`, the stretch's least residual.
+    Where stretches farther than `large` whose neighbours are within `reach` per unit take turns (both neighbours of one lie in others),
+    the path is what lies nearer to the running median."""
+    out, n = [], len(p)
+    for k in range(1, longest + 1):
+        a = np.arange(max(0, n - k - 1))
+        b = a + k + 1
+        gap = (at[b] - at[a]).astype(float)
+        rows = a[:, None] + np.arange(1, k + 1)
+        share = ((at[rows] - at[a][:, None]) / gap[:, None])[..., None]
+        far = _size(p[rows] - (p[a][:, None] + (p[b] - p[a])[:, None] * share)).min(axis=1)
+        out.append((a, k, rows, far, _size(p[b] - p[a]) / gap))
+    marked = np.zeros(n, bool)
+    for _, _, rows, far, rate in out:
+        marked[rows[(far >= large) & (rate <= reach)]] = True
+    if marked.any():
+        away = _size(p - running_median(p))
+    parts = []
+    for a, k, rows, far, rate in out:
+        fits = ~(marked[a] & marked[a + k + 1])
+        if not fits.all():
+            fits |= away[rows].min(axis=1) > np.maximum(away[a], away[a + k + 1])
+        rest = residual[rows].min(axis=1)
+        parts += [(rows[fits, j], far[fits], rate[fits], rest[fits]) for j in range(k)]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def stuck_rows(p: np.ndarray, least: int) -> np.ndarray:
+    """Rows after the first of at least `least` equal ones."""
+    same = np.r_[False, (p[1:] == p[:-1]).all(axis=1)]
+    run = np.cumsum(~same) - 1
+    return (np.bincount(run)[run] >= least) & same
+
+
+def ordinary_steps(p: np.ndarray, loose: np.ndarray, floor: float, gap: float = 1.8) -> tuple[np.ndarray, np.ndarray]:
+    """Size of the step into each row, at least floor, and which count: not those between two far larger ones (inside an excursion), nor the first after a run of equal rows."""
+    n = len(p)
+    raw = np.r_[np.nan, _size(p[1:] - p[:-1])]
+    s = np.maximum(raw, floor)
+    pad, zero = np.r_[np.nan, np.nan, s, np.nan, np.nan], np.r_[False, False, raw == 0]
+    side = lambda *d: np.fmax.reduce([pad[2 + k : 2 + k + n] for k in d])
+    larger = lambda *d: np.nan_to_num(side(*d)) >= gap * s
+    inside = (larger(-1) & larger(1, 2)) | (larger(-2, -1) & larger(1))
+    freed = zero[1 : 1 + n] & zero[:n] & (raw > 0) & ~loose
+    return s, ~inside & ~freed & ~np.isnan(raw)
+
+
+def binned(v: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(bin, number, least, largest) of the positive values."""
+    v = np.sort(v[v > 0])
+    if not len(v):
+        return []
+    b = np.floor(np.log2(v) * BINS).astype(int)
+    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    end = np.r_[cut[1:], len(v)]
+    return [(int(b[i]), int(z - i), float(v[i]), float(v[z - 1])) for i, z in zip(cut, end, strict=True)]
+
+
+def source_figures(bins: DataFrame, source: str, gap: float, upper: float, alpha: float) -> DataFrame:
+    """Per source, from its binned steps, spacings and residuals: __ordinary, __spacing and __limit, the residual from which the test finds outliers."""
+    merged = bins.groupBy(source, "kind", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("least").alias("least"))
+    w = Window.partitionBy(source, "kind")
+    up, down = w.orderBy("bin"), w.orderBy(F.desc("bin"))
+    rows = merged.withColumns({"all": F.sum("n").over(w), "upto": F.sum("n").over(up), "next": F.lead("lo").over(up), "above": F.sum("n").over(down) - F.col("n")})
+    is_kind = lambda k: F.col("kind") == k
+    end = is_kind("step") & (F.col("upto") >= upper * F.col("all")) & (F.col("next") >= gap * F.col("hi")) & (F.col("next") - F.col("hi") >= 2 * F.col("least"))
+    half = is_kind("rest") & (2 * F.col("upto") >= F.col("all"))
+    rows = rows.withColumns({
+        "__gap": F.min(F.when(end, F.col("hi"))).over(Window.partitionBy(source)), "__top": F.max(F.when(is_kind("step"), F.col("hi"))).over(Window.partitionBy(source)),
+        "__half": F.min(F.when(half, F.col("lo"))).over(Window.partitionBy(source)), "__floor": F.max("least").over(Window.partitionBy(source)),
+    })
+    rows = rows.withColumn("__ordinary", F.greatest(F.coalesce("__gap", "__top", F.lit(0.0)), "__floor"))
+    deviation = F.greatest(F.least(1.4826 * F.col("__half"), F.col("__ordinary") / 3), 0.29 * F.col("__floor"))
+    i = F.least(F.col("above") + 1, F.floor(F.col("all") / 2))
+    beyond = is_kind("rest") & ((F.col("all") < 5) | (F.col("hi") > gesd_limit(F.col("all"), i, alpha) * deviation))
+    return rows.groupBy(source).agg(F.max("__ordinary").alias("__ordinary"), F.max_by(F.when(is_kind("spacing"), F.col("lo")), F.when(is_kind("spacing"), F.struct("n", -F.col("bin")))).alias("__spacing"), F.min(F.when(beyond, F.col("lo"))).alias("__limit"))
+
 
-    Sources are worked in blocks of `block` successive readings with a halo, so none has to fit a task.
-    Output: source, order, __spike, __stuck (rows with either). Empty input gives no rows.
+def implausible(
+    df: DataFrame, source: str, order: str, values: Sequence[str], least: str, *, times: float | None, stuck: int | None, stuck_unless: str | None = None, longest: int = 3,
+    path: bool = True, gap: float = 1.8, upper: float = 1 / 3, alpha: float = 0.05, width: int = 65_536, block: int = 65_536, ranked: bool = False,
+) -> DataFrame:
+    """(source, order) of the rows of df that are spikes or stand in a stuck run.
+
+    df has one row for each (source, order), both not null, order a whole number, with finite values;
+    `least` is the least ordinary size. Each source is decomposed: a season, its period taken from the
+    source's own autocorrelation, goes where it is marked; a local trend that leaves out the reading
+    and its neighbours goes; the residual's size remains. The generalised ESD test runs per source on
+    all its residuals with a robust deviation (from their median, never more than a third of the largest
+    ordinary step); critical values run up to half of the rows, and the last holds for what lies beyond, as the
+    neighbours of an excursion have large residuals too. What is flagged is judged by the exact rule:
+    path=True: one to `longest` flagged readings lie `times` the largest ordinary step or more off the
+    straight path between their neighbours, and these are no farther apart than ordinary steps reach in
+    the time between them; path=False: the value is `times` the largest ordinary value. Separately, rows
+    after the first of at least `stuck` equal rows (unless the column stuck_unless is true).
+
+    The largest ordinary step (value) of a source ends where, above its `upper` share, sizes first leave
+    a gap of the factor `gap` and of twice `least`; steps inside an excursion and out of a stuck run do not count. A residual
+    `times` ordinary steps large always lies beyond the test's limit, however the others are spread.
+
+    Sources are worked in blocks of `block` successive readings with a halo, so none has to fit a task;
+    steps, spacings and residuals of all blocks meet in logarithmic bins, so the figures are the source's.
+    ranked: order already counts the source's rows from 1. Empty input gives no rows.
     """
-    source, values = list(source), list(values)
-    halo = max(64, stuck + 1) if stuck < block else 64  # a longer run is never looked for
-    rows = df.select(*source, order, *values, F.col(least).cast("double").alias("__least"), (F.col(stuck_unless) if stuck_unless else F.lit(False)).alias("__loose"))
-    cut = rank_blocks(rows, source, order, width, block, halo)
-    before = Window.partitionBy(*source, "__block").orderBy("__rank")
-    if path:
-        square = sum((F.pow(F.col(v) - F.lag(v).over(before), 2) for v in values), F.lit(0.0))
-        steps = cut.withColumn("__step", F.greatest(F.sqrt(square), "__least")).where("__core")
-    else:
-        steps = cut.withColumn("__step", F.greatest(F.col(values[0]), F.col("__least"))).where("__core")
-    joined = null_safe(cut, ordinary_limit(steps, source, F.col("__step")), source, "left")
-    keys = [*source, "__block"]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = joined.repartition(n, *keys).sortWithinPartitions(*keys, "__rank")
+    values = list(values)
+    halo = max(16, (stuck or 0) + 1)
+    rows = df.select(source, order, *values, F.col(least).cast("double").alias("__least"), (F.col(stuck_unless) if stuck_unless else F.lit(False)).alias("__loose"))
+    cut = block_rows(rows, source, order, width, block, halo, ranked)
+    kinds = dict(rows.dtypes)
+    names = [source, "kind", order, "bin", "n", "lo", "hi", "least"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs_of(batches, keys):
-            codes = [np.unique(np.asarray(group.column(k).to_pandas().astype(str)), return_inverse=True)[1] for k in keys]
-            change = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0), True]) if group.num_rows > 1 else np.array([0, group.num_rows])
-            p = np.column_stack([np.asarray(group.column(v)) for v in values]).astype(float)
-            core, loose = np.asarray(group.column("__core")), np.asarray(group.column("__loose"))
-            floors, limits = np.asarray(group.column("__least")), np.asarray(group.column("__ordinary"), dtype=float)
-            spike, held = np.zeros(len(p), bool), np.zeros(len(p), bool)
-            for a, b in zip(change[:-1], change[1:], strict=True):
-                q, floor, limit = p[a:b], max(floors[a], 1e-12), limits[a]
-                if not np.isfinite(limit):
-                    limit = floor
-                flags = np.any([gesd(decompose(q[:, k]), 0.29 * floor) for k in range(q.shape[1])], axis=0)
-                spike[a:b] = _excursions(q, flags, limit, times, longest) if path else flags & (q[:, 0] >= times * limit)
-                run, head = _runs(q)
-                held[a:b] = (run >= stuck) & ~head & ~loose[a:b]
-            keep = core & (spike | held)
-            if keep.any():
-                out = group.append_column("__spike", pa.array(spike)).append_column("__stuck", pa.array(held)).filter(pa.array(keep))
-                yield from out.select([*source, order, "__spike", "__stuck"]).combine_chunks().to_batches()
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*source, order]) + ", __spike boolean, __stuck boolean"
-    return sorted_rows.mapInArrow(kernel, schema)
+        types = None
+        for group in runs_of(batches, [source, "__block"]):
+            types = types or (group.schema.field(source).type, group.schema.field(order).type)
+            name, number = group.column(source).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), group.column("__block").to_numpy()
+            ends = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (number[1:] != number[:-1]), True]).tolist()
+            points = np.column_stack([np.asarray(group.column(v)) for v in values]).astype(float)
+            places, own, loosely, floors = group.column(order).to_numpy(), np.asarray(group.column("__core")), np.asarray(group.column("__loose")), np.asarray(group.column("__least"))
+            out: list[tuple] = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                p, at, core, loose = points[a:b], places[a:b], own[a:b], loosely[a:b]
+                floor = max(float(floors[a]), 1e-12)
+                put = lambda kind, i, *rest: out.append((a, kind, int(at[i]), *rest))  # noqa: B023, E731
+                if stuck:
+                    for i in np.flatnonzero(stuck_rows(p, stuck) & core & ~loose):
+                        put("stuck", i, None, None, None, None, None)
+                if times is None:
+                    continue
+                size, counts = ordinary_steps(p, loose, floor, gap) if path else (p[:, 0], p[:, 0] > 0)
+                usual = first_gap(size[counts], gap, upper, floor)
+                clean = p - np.column_stack([season(c, usual) for c in p.T])
+                if path:
+                    between = np.bincount(np.minimum(np.diff(at), 1 << 16)) if len(at) > 1 else np.ones(2)
+                    residual = off_path(clean, at, longest)
+                    shape = [("step", size[core & counts]), ("spacing", np.diff(at, prepend=at[0])[core])]
+                    i, far, rate, rest = excursions(p, at, residual, longest, times * usual, usual / max(1, between.argmax()))
+                    some = core[i] & (far >= times * np.maximum(rate, floor))
+                    for one in zip(i[some].tolist(), far[some].tolist(), rate[some].tolist(), rest[some].tolist(), strict=True):
+                        put("case", one[0], None, None, *one[1:])
+                else:
+                    level = np.minimum(running_median(clean[:, 0]), np.median(clean[:, 0]))
+                    residual = np.abs(clean[:, 0] - level)
+                    shape = [("step", np.maximum(p[core, 0], floor))]
+                    for i in np.flatnonzero(core & (p[:, 0] >= times * floor)):
+                        put("case", i, None, None, float(p[i, 0]), 0.0, float(residual[i]))
+                for kind, v in [*shape, ("rest", np.maximum(residual[core], 1e-12))]:
+                    for bin_, n, lo, hi in binned(v):
+                        out.append((a, kind, None, bin_, n, lo, hi, floor))
+            if out:
+                first, *cols = zip(*out, strict=True)
+                arrays = [group.column(source).take(pa.array(first)).combine_chunks()] + [pa.array(c, t) for c, t in zip(cols, (pa.string(), types[1], pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.record_batch(arrays, names=names)
+
+    shape = f"`{source}` {kinds[source]}, kind string, `{order}` {kinds[order]}, bin long, n long, lo double, hi double, least double"
+    found = cut.mapInArrow(kernel, shape)
+    held = found.where("kind = 'stuck'").select(source, order)
+    if times is None:
+        return held
+    found = checkpointed(found)
+    figures = source_figures(found.where("kind not in ('case', 'stuck')"), source, gap, upper, alpha)
+    # A case row holds: distance in lo, rate in hi, residual in least.
+    cases = found.where("kind = 'case'").join(figures, source)
+    fits = (F.col("lo") >= times * F.col("__ordinary")) & (F.col("least") >= F.col("__limit"))
+    if path:
+        fits = fits & (F.col("hi") * F.coalesce("__spacing", F.lit(1.0)) <= F.col("__ordinary"))
+    spikes = cases.where(fits).select(source, order)
+    return (spikes.unionByName(found.where("kind = 'stuck'").select(source, order)) if stuck else spikes).distinct()
 
 
-def implausible_positions(paths: DataFrame, cameras: DataFrame, margin: float = 10.0, times: float = 5.0, stuck: int = 12, coarse: float = 0.05) -> DataFrame:
+def implausible_positions(paths: DataFrame, cameras: DataFrame, margin: float = 10.0, times: float = 5.0, stuck: int = 12, coarse: float = 0.05, **sizes: int) -> DataFrame:
     """path_id of the field_path rows whose position cannot be true (see TESTDATA.md, problem 2).
 
     Copies (same match, track, frame) are judged as one reading, that of the smallest path_id with a
@@ -195,18 +291,20 @@ def implausible_positions(paths: DataFrame, cameras: DataFrame, margin: float =
     unknown camera is judged without pitch bounds and with a step of 0.
     cameras is a small fixed dimension; Catalyst broadcasts it by its size.
     """
-    keys = ["match_id", "track_id"]
-    raw = paths.select("path_id", *keys, "frame_index", "camera_id", "field_x_m", "field_y_m").where("match_id is not null and track_id is not null and frame_index is not null and field_x_m is not null and field_y_m is not null")
+    keys = ["__track", "frame_index"]
+    raw = paths.select("path_id", F.struct("match_id", "track_id").alias("__track"), "match_id", "track_id", "frame_index", "camera_id", "field_x_m", "field_y_m")
+    raw = raw.where("match_id is not null and track_id is not null and frame_index is not null and field_x_m is not null and field_y_m is not null").drop("match_id", "track_id")
+    raw = raw.withColumn("__track", F.concat_ws("/", F.col("__track.track_id").cast("string"), "__track.match_id"))
     dims = cameras.groupBy("camera_id").agg(F.max("field_length_m").alias("__l"), F.max("field_width_m").alias("__w"), F.max("field_step_m").alias("__d"))
     raw = raw.join(dims, "camera_id", "left")
     bad = lambda v, top: F.isnan(v) | (F.abs(v) == float("inf")) | (F.col(v) < -margin) | (F.col(v) > F.col(top) + margin)
     raw = raw.withColumn("__bad", F.coalesce(bad("field_x_m", "__l"), F.lit(False)) | F.coalesce(bad("field_y_m", "__w"), F.lit(False)))
-    one = raw.groupBy(*keys, "frame_index").agg(F.max("__bad").alias("__bad"), F.min_by(F.struct("field_x_m", "field_y_m", "__d"), "path_id").alias("__p"))
-    one = one.select(*keys, "frame_index", "__bad", "__p.field_x_m", "__p.field_y_m", F.coalesce("__p.__d", F.lit(0.0)).alias("__d"))
+    one = raw.groupBy(*keys).agg(F.max("__bad").alias("__bad"), F.min_by(F.struct("field_x_m", "field_y_m", "__d"), "path_id").alias("__p"))
+    one = one.select(*keys, "__bad", "__p.field_x_m", "__p.field_y_m", F.coalesce("__p.__d", F.lit(0.0)).alias("__d"))
     usable = one.where(~F.col("__bad")).withColumn("__coarse", F.col("__d") >= coarse)
-    found = implausible(usable, keys, "frame_index", ["field_x_m", "field_y_m"], "__d", times=times, stuck=stuck, stuck_unless="__coarse")
-    cases = one.where("__bad").select(*keys, "frame_index").unionByName(found.select(*keys, "frame_index")).distinct()
-    return raw.select("path_id", *keys, "frame_index").join(cases, [*keys, "frame_index"], "left_semi").select("path_id")
+    found = implausible(usable, "__track", "frame_index", ["field_x_m", "field_y_m"], "__d", times=times, stuck=stuck, stuck_unless="__coarse", **sizes)
+    cases = one.where("__bad").select(*keys).unionByName(found)
+    return raw.select("path_id", *keys).join(cases, keys, "left_semi").select("path_id")
 
 
 def shot_speed(metadata: str) -> Column:
@@ -216,23 +314,25 @@ def shot_speed(metadata: str) -> Column:
     return F.when(text != "", text.try_cast("double"))
 
 
-def implausible_speeds(events: DataFrame, top: float = 5000.0, times: float = 4.0, stuck: int = 8) -> DataFrame:
+def implausible_speeds(events: DataFrame, top: float = 5000.0, times: float = 4.0, stuck: int = 8, **sizes: int) -> DataFrame:
     """event_id of the shots whose speed cannot be true, relative to the ordinary speeds of their camera.
 
     Copies (same match, event type, frame) are judged as one and named all. Null or cut-off metadata
-    and missing keys are no cases.
+    and missing keys are no cases; shots of no named camera are judged as those of one camera.
     """
-    shots = events.select("event_id", "match_id", "frame_index", "camera_id", shot_speed("metadata").alias("__v"), F.lower(F.trim("event_type")).alias("__t"))
+    keys = ["match_id", "frame_index"]
+    camera = F.coalesce(F.concat(F.lit("camera "), "camera_id"), F.lit("none")).alias("__camera")
+    shots = events.select("event_id", *keys, camera, shot_speed("metadata").alias("__v"), F.lower(F.trim("event_type")).alias("__t"))
     shots = shots.where("__t = 'shot' and match_id is not null and frame_index is not null and __v is not null").drop("__t")
     shots = shots.withColumn("__bad", F.isnan("__v") | (F.abs("__v") == float("inf")) | (F.col("__v") < 0) | (F.col("__v") > top))
-    one = shots.groupBy("match_id", "frame_index").agg(F.max("__bad").alias("__bad"), F.min_by(F.struct("__v", "camera_id"), "event_id").alias("__p"))
-    one = one.select("match_id", "frame_index", "__bad", "__p.__v", "__p.camera_id")
+    one = shots.groupBy(*keys).agg(F.max("__bad").alias("__bad"), F.min_by(F.struct("__v", "__camera"), "event_id").alias("__p"))
+    one = one.select(*keys, "__bad", "__p.__v", "__p.__camera")
     usable = one.where(~F.col("__bad")).withColumn("__d", F.lit(1e-9))
     # A camera's own order: its matches one after another. Ordinals of (match, frame) come from blocks of one match each.
     numbered = usable.withColumn("__match", F.struct("match_id", F.floor(F.col("frame_index") / 4096).alias("b")))
-    numbered = blocked_row_number(numbered, ["camera_id"], [F.col("frame_index")], "__match", "__at")
-    found = implausible(numbered, ["camera_id"], "__at", ["__v"], "__d", times=times, stuck=1 << 30, path=False)
-    hit = null_safe(numbered.select("camera_id", "__at", "match_id", "frame_index"), found.select("camera_id", "__at"), ["camera_id", "__at"], "left_semi")
-    held = implausible(usable, ["match_id"], "frame_index", ["__v"], "__d", times=float("inf"), stuck=stuck, path=False)
-    cases = one.where("__bad").select("match_id", "frame_index").unionByName(hit.select("match_id", "frame_index")).unionByName(held.select("match_id", "frame_index")).distinct()
-    return shots.select("event_id", "match_id", "frame_index").join(cases, ["match_id", "frame_index"], "left_semi").select("event_id")
+    numbered = blocked_row_number(numbered, ["__camera"], [F.col("frame_index")], "__match", "__at")
+    found = implausible(numbered, "__camera", "__at", ["__v"], "__d", times=times, stuck=None, path=False, ranked=True, **sizes)
+    hit = numbered.join(found, ["__camera", "__at"], "left_semi").select(*keys)
+    held = implausible(usable, "match_id", "frame_index", ["__v"], "__d", times=None, stuck=stuck, **sizes)
+    cases = one.where("__bad").select(*keys).unionByName(hit).unionByName(held)
+    return shots.select("event_id", *keys).join(cases, keys, "left_semi").select("event_id")
