@@ -148,7 +148,7 @@ def stuck_rows(p: np.ndarray, least: int) -> np.ndarray:
 
 
 def ordinary_steps(p: np.ndarray, loose: np.ndarray, floor: float, gap: float = 1.8) -> tuple[np.ndarray, np.ndarray]:
-    """Size of the step into each row, at least floor, and which count: not those between two far larger ones (inside an excursion), nor the first after a run of equal rows."""
+    """Size of the step into each row, at least floor, and which count: not those between two far larger ones (inside an excursion), nor those of 0 and the first after a run of equal rows (unless loose)."""
     n = len(p)
     raw = np.r_[np.nan, _size(p[1:] - p[:-1])]
     s = np.maximum(raw, floor)
@@ -156,8 +156,8 @@ def ordinary_steps(p: np.ndarray, loose: np.ndarray, floor: float, gap: float =
     side = lambda *d: np.fmax.reduce([pad[2 + k : 2 + k + n] for k in d])
     larger = lambda *d: np.nan_to_num(side(*d)) >= gap * s
     inside = (larger(-1) & larger(1, 2)) | (larger(-2, -1) & larger(1))
-    freed = zero[1 : 1 + n] & zero[:n] & (raw > 0) & ~loose
-    return s, ~inside & ~freed & ~np.isnan(raw)
+    held = ((raw == 0) | (zero[1 : 1 + n] & zero[:n])) & ~loose
+    return s, ~inside & ~held & ~np.isnan(raw)
 
 
 def binned(v: np.ndarray) -> list[tuple[int, int, float, float]]:
@@ -210,7 +210,7 @@ def implausible(
     after the first of at least `stuck` equal rows (unless the column stuck_unless is true).
 
     The largest ordinary step (value) of a source ends where, above its `upper` share, sizes first leave
-    a gap of the factor `gap` and of twice `least`; steps inside an excursion and out of a stuck run do not count. A residual
+    a gap of the factor `gap` and of twice `least`; steps inside an excursion and in or out of a stuck run do not count. A residual
     `times` ordinary steps large always lies beyond the test's limit, however the others are spread.
 
     Sources are worked in blocks of `block` successive readings with a halo, so none has to fit a task;

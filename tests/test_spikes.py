@@ -23,14 +23,14 @@ def limit(sizes, step=0.0):
 
 
 def ordinary(p, step, coarse):
-    """Steps of a track without those between two far larger ones and without the first after three equal readings."""
+    """Steps of a track without those between two far larger ones and without those of 0 and the first after three equal readings."""
     raw = [float(np.hypot(*(p[i + 1] - p[i]))) for i in range(len(p) - 1)]
     s, out = [max(x, step) for x in raw], []
     for i, x in enumerate(s):
         larger = lambda *d: any(0 <= i + k < len(s) and s[i + k] >= 1.8 * x for k in d)
         if larger(-1) and larger(1, 2) or larger(-2, -1) and larger(1):
             continue
-        if not coarse and i >= 2 and raw[i - 1] == raw[i - 2] == 0 < raw[i]:
+        if not coarse and (raw[i] == 0 or i >= 2 and raw[i - 1] == raw[i - 2] == 0):
             continue
         out.append(x)
     return limit(out, step) if out else step
