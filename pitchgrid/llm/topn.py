@@ -4,46 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BINS = 63
+SALTS = 8
 
-def top_n(df: DataFrame, group: Sequence[str], score: str, same: Sequence[str], key: str, n: int = 3, heavy: int = 256, salts: int = 32) -> DataFrame:
-    """The n items of every group with the highest score, ties by smaller key.
 
-    score lies in 0..1 and is not null. Rows that agree in group, score and `same` are one item, standing
-    under its smallest key. A histogram of 63 bins of each group, kept as the bits of one number and
-    combined before the shuffle, tells which bins are filled: each is at least one distinct item, so
-    the n-th filled bin from above is a lower bound that at least n items reach. Groups of more than
-    `heavy` rows are filtered by it; rows are salted by score and `same`, so a hot group is spread over
-    `salts` tasks; survivors are made distinct in place, cut to n per task and ranked exactly.
+def items_above(df: DataFrame, group: Sequence[str], score: str, same: Sequence[str], key: str, n: int) -> DataFrame:
+    """The distinct items of every group that reach its lower threshold, with their `__bin` and `__salt`.
 
-    Null group values are a group. Groups of fewer than n items come out whole; empty input gives no rows.
+    Rows that agree in group, score and `same` are one item, standing under its smallest key; copies
+    combine before any shuffle. A histogram of 63 score bins, each in 8 parts by a hash of the item, is
+    kept for every group as the bits of eight numbers, which combine before the shuffle as well. A filled
+    bit is at least one distinct item, so at least n items reach the n-th filled bin from above; what
+    lies below it is filtered. The filter meets items by (group, bin, part), of which a group has up to
+    504, so a hot group is spread; only bins that are cut are sent, none for a group that loses nothing.
     """
     group = list(group)
-    bin_of = F.floor(F.col(score) * 62.999999).cast("int")
-    salt = F.pmod(F.xxhash64(score, *same), F.lit(salts)).cast("int")
-    rows = df.select(*group, score, *same, key).withColumn("__salt", salt)
-    histogram = rows.groupBy(*group).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(floor({score} * 62.999999) as int))")).alias("__bits"), F.count(F.lit(1)).alias("__n"))
-    # The n-th highest bit: clear the highest n - 1 bits one by one.
-    highest = lambda b: F.length(F.bin(b)) - 1
-    bits = F.col("__bits")
-    bound: Column = bits
-    for _ in range(n - 1):
-        lower = bound - F.call_function("shiftleft", F.lit(1).cast("long"), highest(bound))
-        bound = F.when(lower > 0, lower).otherwise(bound)
-    floors = histogram.where(F.col("__n") > heavy).select(*[F.col(g).alias(f"__g_{g}") for g in group], highest(bound).alias("__bin"))
-    floors = floors.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = F.col("__salt") == F.col("__s")
+    part = F.pmod(F.xxhash64(score, *same), F.lit(SALTS)).cast("int")
+    rows = df.select(*group, score, *same, key)
+    items = rows.groupBy(*group, score, *same).agg(F.min(key).alias(key))
+    items = items.withColumns({"__bin": F.floor(F.col(score) * (BINS - 1e-6)).cast("int"), "__salt": part})
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bin"))
+    parts = [f"__p{s}" for s in range(SALTS)]
+    histogram = items.groupBy(*group).agg(*[F.coalesce(F.bit_or(F.when(F.col("__salt") == s, bit)), F.lit(0).cast("long")).alias(p) for s, p in enumerate(parts)])
+    filled = F.col(parts[0])
+    for p in parts[1:]:
+        filled = filled.bitwiseOR(F.col(p))
+    has = lambda bits, b: F.call_function("shiftright", bits, b).bitwiseAND(F.lit(1)) == 1
+    cut = histogram.withColumn("__filled", filled).where(F.bit_count("__filled") > n)
+    down = F.filter(F.sequence(F.lit(BINS - 1), F.lit(0)), lambda b: has(F.col("__filled"), b))
+    cut = cut.withColumn("__below", F.slice(down, n + 1, BINS))
+    cells = F.flatten(F.array(*[F.transform(F.filter("__below", lambda b, p=p: has(F.col(p), b)), lambda b, s=s: F.struct(b.alias("b"), F.lit(s).alias("s"))) for s, p in enumerate(parts)]))
+    cut = cut.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.explode(cells).alias("__cell")).select("*", "__cell.b", "__cell.s")
+    on = (F.col("__bin") == F.col("b")) & (F.col("__salt") == F.col("s"))
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    kept = rows.join(floors, on, "left").where(F.col("__bin").isNull() | (bin_of >= F.col("__bin")))
-    items = kept.groupBy(*group, "__salt", score, *same).agg(F.min(key).alias(key))
+    return items.join(cut, on, "left_anti")
+
+
+def top_n(df: DataFrame, group: Sequence[str], score: str, same: Sequence[str], key: str, n: int = 3) -> DataFrame:
+    """The n items of every group with the highest score, ties by smaller key.
+
+    score lies in 0..1 and is not null. Items are filtered by their group's histogram (items_above);
+    survivors are cut to n in each task, then ranked exactly with the key as tie.
+
+    Null group values are a group. Groups of fewer than n items come out whole; empty input gives no rows.
+    """
+    group = list(group)
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), key))
-    return items.withColumn("rank", rank).where(F.col("rank") <= n).select(*group, "rank", score, key)
+    return items_above(df, group, score, same, key, n).withColumn("rank", rank).where(F.col("rank") <= n).select(*group, "rank", score, key)
+
+
+def scored(detections: DataFrame) -> DataFrame:
+    """Detections with one spelling of their class (case, outer blanks); scores null, NaN or outside 0..1 are out."""
+    return detections.select("match_id", "frame_index", F.lower(F.trim("class_name")).alias("class_name"), "score", "box", "det_id").where("score >= 0 and score <= 1 and not isnan(score)")
+
+
+GROUP = ["match_id", "frame_index", "class_name"]
 
 
 def top_detections(detections: DataFrame, n: int = 3) -> DataFrame:
-    """The n best detections of every match, frame and class (apart from case and outer blanks); scores null, NaN or outside 0..1 are out."""
-    rows = detections.select("match_id", "frame_index", F.lower(F.trim("class_name")).alias("class_name"), "score", "box", "det_id").where("score >= 0 and score <= 1 and not isnan(score)")
-    return top_n(rows, ["match_id", "frame_index", "class_name"], "score", ["box"], "det_id", n)
+    """The n best detections of every match, frame and class."""
+    return top_n(scored(detections), GROUP, "score", ["box"], "det_id", n)

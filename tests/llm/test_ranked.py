@@ -8,7 +8,7 @@ import pytest
 from pitchgrid.llm.runs import collapse_runs, state_runs
 from pitchgrid.llm.sampling import frozen_bottom_k, image_key, review_sample
 from pitchgrid.llm.splits_overlap import overlap_report, overlapping_images
-from pitchgrid.llm.topn import top_detections
+from pitchgrid.llm.topn import GROUP, items_above, scored, top_detections
 from pyspark.sql import functions as F
 
 IMAGES = "image_id long, video string, source_group string, frame_index long, split string, image_path string, ingest_batch int, clip string"
@@ -142,3 +142,27 @@ def test_top(spark, rng, n):
     want = sorted(i for g in groups.values() for _, i in sorted(g)[:n])
     assert sorted(r.det_id for r in top_detections(spark.createDataFrame(rows, DETS), n).collect()) == want
     assert top_detections(spark.createDataFrame([], DETS), n).collect() == []
+
+
+def test_histograms_cut_small_and_large_groups(spark, rng):
+    """Every group with more filled bins than n loses what lies below the n-th, and nothing that could be ranked."""
+    rows = []
+    for frame, size in enumerate([1, 3, 4, 5, 17, 60, 200, 900, 256, 257]):
+        rows += [(100000 * frame + i, "m", frame, "ball", round(rng.random(), 4), [float(i)] * 4, "x") for i in range(size)]
+    rows += [(50_000_000 + i, "m", 3, "ball", 0.9, [1.0] * 4, "x") for i in range(50)]  # copies of one item mislead no threshold
+    rows += [(60_000_000 + i, "m", 99, "ball", 0.5, [float(i)] * 4, "x") for i in range(300)]  # one bin: nothing to cut
+    df = scored(spark.createDataFrame(rows, DETS))
+    for n in (1, 3, 20):
+        kept = defaultdict(set)
+        for r in items_above(df, GROUP, "score", ["box"], "det_id", n).collect():
+            kept[r.frame_index].add(r.det_id)
+        for frame in {r[2] for r in rows}:
+            items = {}
+            for r in rows:
+                if r[2] == frame:
+                    items[r[4], tuple(r[5])] = min(r[0], items.get((r[4], tuple(r[5])), r[0]))
+            bins = sorted({int(s * 62.999999) for s, _ in items}, reverse=True)
+            floor = bins[n - 1] if len(bins) > n else -1
+            assert kept[frame] == {i for (s, _), i in items.items() if int(s * 62.999999) >= floor}
+        if n == 3:
+            assert all(len(kept[f]) < 0.5 * size for f, size in ((5, 60), (6, 200), (7, 900), (8, 256)))
