@@ -15,18 +15,19 @@ from pitchgrid.session import checkpointed
 BINS = 8  # logarithmic bins to a doubling
 
 
-def gesd_limit(n: Column, i: Column, alpha: float = 0.05) -> Column:
-    """Critical value of the generalised extreme studentised deviate test for the i-th outlier among n.
+def with_gesd_limit(df: DataFrame, n: str, i: str, name: str, alpha: float = 0.05) -> DataFrame:
+    """Adds the critical value of the generalised extreme studentised deviate test for the i-th outlier among n.
 
     Normal quantile by the rational approximation of Abramowitz and Stegun (26.2.23), Student's t by
-    the Cornish-Fisher expansion around it.
+    the Cornish-Fisher expansion around it; a column a step, so that no expression repeats another.
     """
-    tail = F.lit(alpha) / (2 * (n - i + 1))
-    q = F.sqrt(-2 * F.log(tail))
-    z = q - (2.515517 + 0.802853 * q + 0.010328 * q * q) / (1 + 1.432788 * q + 0.189269 * q * q + 0.001308 * q * q * q)
-    df = F.greatest(n - i - 1, F.lit(1)).cast("double")
-    t = z + (F.pow(z, 3) + z) / (4 * df) + (5 * F.pow(z, 5) + 16 * F.pow(z, 3) + 3 * z) / (96 * df * df)
-    return (n - i) * t / F.sqrt((df + t * t) * (n - i + 1))
+    c, left = F.col, F.col(n) - F.col(i)
+    df = df.withColumn("__q", F.sqrt(-2 * F.log(F.lit(alpha) / (2 * (left + 1)))))
+    df = df.withColumn("__z", c("__q") - (2.515517 + 0.802853 * c("__q") + 0.010328 * F.pow("__q", F.lit(2))) / (1 + 1.432788 * c("__q") + 0.189269 * F.pow("__q", F.lit(2)) + 0.001308 * F.pow("__q", F.lit(3))))
+    df = df.withColumn("__df", F.greatest(left - 1, F.lit(1)).cast("double"))
+    z = lambda k: F.pow("__z", F.lit(k))
+    df = df.withColumn("__t", c("__z") + (z(3) + c("__z")) / (4 * c("__df")) + (5 * z(5) + 16 * z(3) + 3 * c("__z")) / (96 * c("__df") * c("__df")))
+    return df.withColumn(name, left * c("__t") / F.sqrt((c("__df") + F.pow("__t", F.lit(2))) * (left + 1))).drop("__q", "__z", "__df", "__t")
 
 
 def running_median(values: np.ndarray, width: int = 15) -> np.ndarray:
@@ -186,8 +187,8 @@ def source_figures(bins: DataFrame, source: str, gap: float, upper: float, alpha
     })
     rows = rows.withColumn("__ordinary", F.greatest(F.coalesce("__gap", "__top", F.lit(0.0)), "__floor"))
     deviation = F.greatest(F.least(1.4826 * F.col("__half"), F.col("__ordinary") / 3), 0.29 * F.col("__floor"))
-    i = F.least(F.col("above") + 1, F.floor(F.col("all") / 2))
-    beyond = is_kind("rest") & ((F.col("all") < 5) | (F.col("hi") > gesd_limit(F.col("all"), i, alpha) * deviation))
+    rows = with_gesd_limit(rows.withColumns({"__deviation": deviation, "__i": F.least(F.col("above") + 1, F.floor(F.col("all") / 2))}), "all", "__i", "__critical", alpha)
+    beyond = is_kind("rest") & ((F.col("all") < 5) | (F.col("hi") > F.col("__critical") * F.col("__deviation")))
     return rows.groupBy(source).agg(F.max("__ordinary").alias("__ordinary"), F.max_by(F.when(is_kind("spacing"), F.col("lo")), F.when(is_kind("spacing"), F.struct("n", -F.col("bin")))).alias("__spacing"), F.min(F.when(beyond, F.col("lo"))).alias("__limit"))
 
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 
-from pitchgrid.operators.spikes import gesd_limit, implausible_positions, implausible_speeds, period_of, running_median, season, shot_speed
+from pitchgrid.operators.spikes import implausible_positions, implausible_speeds, period_of, running_median, season, shot_speed, with_gesd_limit
 from pitchgrid.plans.core_queries import p2_found
 
 POS = "path_id long, match_id string, camera_id string, frame_index long, track_id long, field_x_m double, field_y_m double, __bad string"
@@ -206,14 +206,12 @@ def test_parts(spark):
     x = np.sin(np.arange(200) / 30) + rng.normal(0, 0.01, 200)
     assert np.abs(x - running_median(x)).max() < 0.1 and not season(x).any()
     for period in (7, 10, 24):
-        wave = np.tile(rng.normal(0, 1, period), 400 // period) 
+        wave = np.tile(rng.normal(0, 1, period), 400 // period)
         line = wave + np.arange(len(wave)) * 0.01 + rng.normal(0, 0.05, len(wave))
         line[50] += 30
         assert period_of(line - running_median(line, 61)) == period
     seasonal = np.tile([0.0, 1, 0, 0, 2, 0, 0, 3, 0, 0], 20) + np.arange(200) * 0.01
     assert np.abs(seasonal - season(seasonal) - np.arange(200) * 0.01)[10:-10].std() < 0.2
-    from pyspark.sql import functions as F
-
     # Table values of the two-sided test at 0.05 (Rosner 1983): n = 25 and 54, first and fifth.
-    rows = spark.createDataFrame([(25, 1), (25, 5), (54, 1), (54, 5)], "n int, i int").select(gesd_limit(F.col("n"), F.col("i")).alias("v")).collect()
-    assert np.allclose([r.v for r in rows], [2.822, 2.733, 3.158, 3.120], atol=0.03)
+    rows = with_gesd_limit(spark.createDataFrame([(25, 1), (25, 5), (54, 1), (54, 5)], "n int, i int"), "n", "i", "v")
+    assert np.allclose([r.v for r in rows.collect()], [2.822, 2.733, 3.158, 3.120], atol=0.03)
