@@ -48,7 +48,7 @@ def tied_groups(df: DataFrame, record: str, ties: Sequence[Column]) -> DataFrame
     names = [F.concat(F.lit(f"{i}|"), t) for i, t in enumerate(ties)]
     rows = df.select(F.col(record), *[c.alias(f"__t{i}") for i, c in enumerate(names)])
     cols = [f"__t{i}" for i in range(len(names))]
-    rows = rows.withColumn("__node", F.coalesce(*cols))
+    rows = checkpointed(rows.withColumn("__node", F.coalesce(*cols)))  # names are spelt once
     edges = None
     for c in cols:
         one = rows.where(F.col(c).isNotNull()).select(F.col("__node").alias("u"), F.col(c).alias("v")).distinct()

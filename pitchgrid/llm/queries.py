@@ -100,9 +100,8 @@ QUERIES = {f.__name__: f for f in (p3_sample, p3_rates, p4_found, p4_runs, p5_fo
 
 def _spelling(c: str) -> str:
     """SQL for one spelling of a path."""
-    out = f"regexp_replace({c}, '(?i)%20', ' ', 'g')"
-    out = f"lower({out})"
-    for a, b in ((r"\\+", "/"), ("/+", "/"), (r"\s+", " "), (" ?/ ?", "/")):
+    out = f"replace(replace(lower({c}), '%20', ' '), '\\', '/')"
+    for a, b in ((r"\s+", " "), (" ?/[ /]*", "/")):
         out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
     return f"nullif(regexp_replace(trim({out}), '^(\\./)+|^/', ''), '')"
 
@@ -119,14 +118,16 @@ _RECORDS = f"""SELECT image_id, {_SPLIT} AS split, {_spelling('source_group')} A
   coalesce(frame_index, {_FRAME_PATH}) AS frame FROM manifest_images"""
 _SAMPLE = f"""
 WITH rows AS (
-  SELECT image_id, concat_ws('/', {_CLIP_PATH}, {_NAME}, coalesce(frame_index, {_FRAME_PATH})::VARCHAR) AS image_key, {_spelling('source_group')} AS source_group, coalesce(ingest_batch, -1) AS b FROM manifest_images),
-firsts AS (SELECT image_key, arg_min(b, (b, source_group IS NOT NULL, coalesce(source_group, ''))) AS b, arg_min((source_group,), (b, source_group IS NOT NULL, coalesce(source_group, ''))) AS g, arg_min(image_id, (b, image_id)) AS image_id FROM rows GROUP BY 1),
-items AS (SELECT image_key, b, struct_extract(g, 1) AS source_group, image_id, sha256('review' || chr(31) || image_key) AS h FROM firsts),
-sizes AS (SELECT source_group, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_group ORDER BY b) AS cum FROM items GROUP BY 1, 2),
+  SELECT image_id, concat_ws('/', {_CLIP_PATH}, {_NAME}, coalesce(frame_index, {_FRAME_PATH})::VARCHAR) AS image_key, {_spelling('source_group')} AS source_group, ingest_batch AS b FROM manifest_images),
+firsts AS (SELECT image_key, min(b) AS b, coalesce(min((b, source_group IS NOT NULL, coalesce(source_group, ''), image_id)) FILTER (WHERE b IS NOT NULL),
+  min((0, source_group IS NOT NULL, coalesce(source_group, ''), image_id))) AS f, bool_or(b IS NULL) AS loose FROM rows GROUP BY 1),
+items AS (SELECT image_key, b, CASE WHEN struct_extract(f, 2) THEN struct_extract(f, 3) END AS source_group, struct_extract(f, 4) AS image_id, sha256('review' || chr(31) || image_key) AS h, loose FROM firsts),
+sizes AS (SELECT source_group, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY source_group ORDER BY b) AS cum FROM items WHERE b IS NOT NULL GROUP BY 1, 2),
 quota AS (SELECT source_group, b, ceil(round(cum * 0.1::DOUBLE, 9)) - ceil(round((cum - n) * 0.1::DOUBLE, 9)) AS k FROM sizes),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source_group, b ORDER BY h, image_key) AS r FROM items),
-drawn AS (SELECT image_id, image_key, r.source_group, r.b::INTEGER AS ingest_batch FROM ranked r JOIN quota q ON r.b = q.b AND r.source_group IS NOT DISTINCT FROM q.source_group WHERE r <= k)
-""".replace("WHERE r <= k", "WHERE r.r <= q.k")
+drawn AS (SELECT image_id, image_key, r.source_group, r.b::INTEGER AS ingest_batch FROM ranked r LEFT JOIN quota q ON r.b = q.b AND r.source_group IS NOT DISTINCT FROM q.source_group
+  WHERE coalesce(r.r <= q.k, false) OR (loose AND ('0x' || h[:8])::BIGINT / 4294967296.0::DOUBLE < 0.1::DOUBLE))
+"""
 _RUNS = """
 WITH one AS (
   SELECT match_id, frame_index AS f, arg_max((regexp_replace(lower(trim(state)), '[ -]+', '_', 'g'), CASE WHEN isnan(confidence) THEN NULL ELSE confidence END), (coalesce(ingested_at, '0001-01-01'::TIMESTAMP), state_id)) AS e
@@ -155,11 +156,20 @@ ORACLES = {
     "p4_runs": _RUNS + "SELECT * FROM runs",
     "p5_found": _PAIRS + "SELECT least(e, t) AS image_id_a, greatest(e, t) AS image_id_b FROM m",
     "p5_report": _PAIRS
-    + """, hit AS (SELECT clip, frame, count(DISTINCT tf) AS n, max(CASE WHEN frame = tf THEN 1 ELSE 0 END) AS x FROM m GROUP BY 1, 2)
-SELECT split, source_group, count(*) AS images, sum(coalesce(x, 0))::BIGINT AS exact_images, sum(CASE WHEN n IS NULL THEN 0 ELSE 1 END)::BIGINT AS near_images, round(avg(coalesce(n, 0) / 5.0::DOUBLE), 6) AS mean_coverage
+    + """, one AS (SELECT DISTINCT clip, frame, tf FROM m), isl AS (SELECT *, tf - row_number() OVER (PARTITION BY clip, frame ORDER BY tf) AS i FROM one),
+part AS (SELECT clip, frame, i, count(*) AS n, max(CASE WHEN frame = tf THEN 1 ELSE 0 END) AS x FROM isl GROUP BY 1, 2, 3),
+hit AS (SELECT clip, frame, sum(n) AS n, max(x) AS x, count(*) AS stretches, max(n) AS longest FROM part GROUP BY 1, 2)
+SELECT split, source_group, count(*) AS images, sum(coalesce(x, 0))::BIGINT AS exact_images, sum(CASE WHEN n IS NULL THEN 0 ELSE 1 END)::BIGINT AS near_images, round(avg(coalesce(n, 0) / 5.0::DOUBLE), 6) AS mean_coverage,
+  sum(coalesce(stretches, 0))::BIGINT AS stretches, max(coalesce(longest, 0))::BIGINT AS longest
 FROM ok LEFT JOIN hit USING (clip, frame) WHERE split <> 'train' GROUP BY 1, 2""",
     "p6_found": f"SELECT det_id FROM ({_TOP})",
     "p6_ranked": _TOP,
+    "p7_found": f"""
+WITH RECURSIVE rows AS (SELECT image_id, 'v' || {_spelling('video')} AS v, 'g' || {_spelling('source_group')} AS g FROM manifest_images),
+edge AS (SELECT DISTINCT v AS a, g AS b FROM rows WHERE v IS NOT NULL AND g IS NOT NULL), both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT DISTINCT coalesce(v, g) AS a, coalesce(v, g) AS b FROM rows WHERE coalesce(v, g) IS NOT NULL UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+own AS (SELECT image_id, coalesce(v, g) AS k FROM rows), least_of AS (SELECT r.a AS k, min(o.image_id) AS group_id FROM reach r JOIN own o ON o.k = r.b GROUP BY 1)
+SELECT image_id, coalesce(group_id, image_id) AS group_id FROM own LEFT JOIN least_of USING (k)""",
     "p9_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), e AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
 dw AS (SELECT doc_id, hash(array_to_string(w[i:i + 11], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),

@@ -15,6 +15,11 @@ def salted(salt: str, *columns: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(salt), *[F.coalesce(c.cast("string"), F.lit("\x1e")) for c in columns]), 256)
 
 
+def hash_share(hashed: Column) -> Column:
+    """Where a hash (hex) lies between 0 and 1, by its first 8 digits."""
+    return F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], hashed: str, ties: Sequence[str], name: str = "__rank", digits: int = 3) -> DataFrame:
     """row_number over (keys order by hashed, ties). The leading hex digits of the hash cut a group into 16^digits even blocks."""
     cut = df.withColumn("__top", F.substring(hashed, 1, digits))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 63
@@ -36,7 +36,11 @@ def items_above(df: DataFrame, group: Sequence[str], score: str, same: Sequence[
     cut = histogram.withColumn("__filled", filled).where(F.bit_count("__filled") > n)
     down = F.filter(F.sequence(F.lit(BINS - 1), F.lit(0)), lambda b: has(F.col("__filled"), b))
     cut = cut.withColumn("__below", F.slice(down, n + 1, BINS))
-    cells = F.flatten(F.array(*[F.transform(F.filter("__below", lambda b, p=p: has(F.col(p), b)), lambda b, s=s: F.struct(b.alias("b"), F.lit(s).alias("s"))) for s, p in enumerate(parts)]))
+
+    def of_part(s: int) -> Column:
+        return F.transform(F.filter("__below", lambda b: has(F.col(parts[s]), b)), lambda b: F.struct(b.alias("b"), F.lit(s).alias("s")))
+
+    cells = F.flatten(F.array(*map(of_part, range(SALTS))))
     cut = cut.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.explode(cells).alias("__cell")).select("*", "__cell.b", "__cell.s")
     on = (F.col("__bin") == F.col("b")) & (F.col("__salt") == F.col("s"))
     for g in group:

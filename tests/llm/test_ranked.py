@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from pitchgrid.llm.paths import one_spelling
 from pitchgrid.llm.runs import collapse_runs, state_runs
 from pitchgrid.llm.sampling import frozen_bottom_k, image_key, review_sample
 from pitchgrid.llm.splits_overlap import overlap_report, overlapping_images
@@ -42,13 +43,27 @@ def test_sample_grows_and_keeps_its_rate(spark, rng):
     again = rows + [(k, g, 4, "y", 2) for k, g, b, *_ in rows[:300]]  # late copies change nothing
     assert drawn(items(spark, again[::-1])) == whole
     assert drawn(items(spark, [])) == set()
-    assert len(drawn(items(spark, [("only", None, None, None, None)]))) == 1
+
+
+def test_sample_and_rows_without_a_batch(spark, rng):
+    """No delivery without a batch drops what was drawn, and new batches drop nothing drawn from such rows."""
+    rows = [(f"i{i}", rng.choice(["a", "b", None]), i % 3, "x", 1) for i in range(200)]
+    once = drawn(items(spark, rows))
+    again = rows + [(k, rng.choice(["a", None]), None, "y", 2) for k, *_ in rows[:60]]
+    assert once <= drawn(items(spark, again)) and len(drawn(items(spark, again))) <= len(once) + 12
+    loose = [(f"n{i}", "a", None, "x", 1) for i in range(400)]
+    before = drawn(items(spark, rows + loose))
+    more = [(f"i{i}", "a", 3, "x", 1) for i in range(200, 500)]
+    after = drawn(items(spark, more + loose + [(f"n{i}", "c", None, "x", 1) for i in range(400, 500)] + rows))
+    assert once <= before <= after and 20 <= sum(k[0] == "n" for k in before) <= 60
+    late = drawn(items(spark, rows + loose + [(f"n{i}", "a", 3, "x", 1) for i in range(400)]))  # named later by a batch
+    assert {k for k in before if k[0] == "n"} <= late
 
 
 def test_images_in_one_spelling(spark):
     rows = [(1, None, "G/v.mp4", 7, "train", "frames/G a/v_f0-9/f7.png", 0, "x"), (2, None, "g\\V.mp4", None, "train", "./Frames//G%20A/V_F0-9/F7.PNG ", 3, "x")]
     df = spark.createDataFrame(rows, IMAGES)
-    assert df.select(image_key(F.col("image_path"), F.col("frame_index")).alias("k")).distinct().count() == 1
+    assert df.select(image_key(one_spelling(F.col("image_path")), F.col("frame_index")).alias("k")).distinct().count() == 1
     assert [r.image_id for r in review_sample(df).collect()] == [1]
 
 
@@ -86,8 +101,9 @@ def test_runs(spark, rng):
     df = spark.createDataFrame(rows, STATES)
     got = sorted((r.match_id, r.state, r.start, r.end) for r in state_runs(df).collect())
     assert got == brute_runs(rows)
-    small = collapse_runs(df.withColumn("state", F.regexp_replace(F.lower(F.trim("state")), "[ -]", "_")), ["match_id"], "frame_index", "state", "confidence", 0.05, [F.col("ingested_at"), F.col("state_id")], block=7)
-    assert sorted((r.match_id, r.state, r.start, r.end) for r in small.collect()) == got
+    for block in (1, 2, 7):
+        small = collapse_runs(df.withColumn("state", F.regexp_replace(F.lower(F.trim("state")), "[ -]", "_")), ["match_id"], "frame_index", "state", "confidence", 0.05, [F.col("ingested_at"), F.col("state_id")], block=block)
+        assert sorted((r.match_id, r.state, r.start, r.end) for r in small.collect()) == got
     assert all(r.events == r.duration == r.end - r.start + 1 for r in small.collect())
     assert state_runs(spark.createDataFrame([], STATES)).collect() == []
 
@@ -114,6 +130,9 @@ def test_overlap(spark, rng):
     assert sorted(map(tuple, overlapping_images(df).collect())) == want and want
     report = overlap_report(df).collect()
     assert sum(r.images for r in report) == sum(k[1] == "e" for k in known)
+    ends = lambda b: sorted({a[3] for a in known if a[1] == "t" and a[2] == b[2] and abs(a[3] - b[3]) <= 2})
+    evaluated = [ends(k) for k in known if k[1] == "e"]
+    assert sum(r.stretches for r in report) == sum(1 for e in evaluated for i, f in enumerate(e) if i == 0 or f != e[i - 1] + 1)
     assert sum(r.near_images for r in report) == len({b[0] for b in known if b[1] == "e" and any(a[1] == "t" and a[2] == b[2] and abs(a[3] - b[3]) <= 2 for a in known)})
     assert overlapping_images(spark.createDataFrame([], IMAGES)).collect() == []
     assert overlapping_images(df.where("lower(trim(split)) = 'train'")).collect() == []
