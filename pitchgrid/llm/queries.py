@@ -75,13 +75,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_windows(spark, sf_dir).where("verbatim").select("item_id", "doc_id").distinct()
 
 
+def p9_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked item: documents with a verbatim window, and passage windows found verbatim."""
+    return p9_windows(spark, sf_dir).where("verbatim").groupBy("item_id").agg(F.countDistinct("doc_id").alias("verbatim_docs"), F.countDistinct("item_at").alias("windows"))
+
+
 def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per leaked item: documents with a verbatim window, with a re-filled one, and passage windows found."""
-    hits = p9_windows(spark, sf_dir)
-    return hits.groupBy("item_id").agg(
-        F.countDistinct(F.when(F.col("verbatim"), F.col("doc_id"))).alias("verbatim_docs"), F.countDistinct(F.when(~F.col("verbatim"), F.col("doc_id"))).alias("refilled_docs"),
-        F.countDistinct("item_at").alias("windows"),
-    )
+    """Per leaked item: documents with a verbatim window, and documents that have a re-filled one but no verbatim one."""
+    docs = p9_windows(spark, sf_dir).groupBy("item_id", "doc_id").agg(F.max(F.col("verbatim").cast("long")).alias("v"))
+    return docs.groupBy("item_id").agg(F.sum("v").alias("verbatim_docs"), F.sum(1 - F.col("v")).alias("refilled_docs"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +97,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "shared_chars", "spans", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_sample, p3_rates, p4_found, p4_runs, p5_found, p5_report, p6_found, p6_ranked, p7_found, p7_splits, p8_containers, p9_found, p9_items, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_sample, p3_rates, p4_found, p4_runs, p5_found, p5_report, p6_found, p6_ranked, p7_found, p7_splits, p8_containers, p9_found, p9_verbatim, p9_items, p10_found, p10_shared)}
 
 
 def _spelling(c: str) -> str:
@@ -175,6 +177,11 @@ WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), e AS (SE
 dw AS (SELECT doc_id, hash(array_to_string(w[i:i + 11], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
 ew AS (SELECT item_id, hash(array_to_string(w[i:i + 11], ' ')) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
 SELECT DISTINCT item_id, doc_id FROM ew JOIN dw USING (h)""",
+    "p9_verbatim": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), e AS (SELECT item_id, {_WORDS.format('passage')} AS w FROM eval_items),
+dw AS (SELECT doc_id, hash(array_to_string(w[i:i + 11], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+ew AS (SELECT item_id, i, hash(array_to_string(w[i:i + 11], ' ')) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+SELECT item_id, count(DISTINCT doc_id) AS verbatim_docs, count(DISTINCT i) AS windows FROM ew JOIN dw USING (h) GROUP BY 1""",
     "p10_found": """
 WITH w AS (SELECT doc_id, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
 g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
