@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from pitchgrid.operators.blocks import runs_of
 from pitchgrid.session import checkpointed, partitions_for, spread
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -92,36 +93,23 @@ def _meeting(rows: DataFrame, n: int, columns: list[str], doc: str) -> DataFrame
 
     Rows go to the partition of their key, or, where `sure` (another text of the same input task has
     the key), to one of their text, for one row a key and task is enough there. So a key has at most
-    one row of each input task in a partition, however many texts share it.
+    one row of each input task in a partition, however many texts share it. Partitions are sorted and
+    stream: beside a batch only the open key is held, however large a partition is.
     """
     kinds, keep = dict(rows.dtypes), [doc, *columns]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        sure = t.column("sure").to_numpy(zero_copy_only=False)
-        key = t.column("key").to_numpy()
-        code = t.column(doc).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((code, key))
-        k, d = key[order], code[order]
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        last = np.r_[first[1:], len(k)] - 1
-        many = np.repeat(d[first] != d[last], last - first + 1)
-        if "check" in kinds:  # the second hash must agree as well
-            check = t.column("check").to_numpy()[order]
-            fine = np.lexsort((d, check, k))
-            k2, c2, d2 = k[fine], check[fine], d[fine]
-            first = np.flatnonzero(np.r_[True, (k2[1:] != k2[:-1]) | (c2[1:] != c2[:-1])])
-            last = np.r_[first[1:], len(k2)] - 1
-            many = np.empty(len(k2), bool)
-            many[fine] = np.repeat(d2[first] != d2[last], last - first + 1)
-        chosen = sure.copy()
-        chosen[order[many]] = True
-        yield from t.select(keep).filter(pa.array(chosen)).combine_chunks().to_batches()
-
-    spread = rows.repartition(n, F.when(F.col("sure"), F.xxhash64(doc)).otherwise(F.col("key")))
+        for t in runs_of(batches, ["sure", "key"]):
+            sure = t.column("sure").to_numpy(zero_copy_only=False)
+            if sure.all():
+                chosen = sure
+            else:
+                code = t.column(doc).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                many, _ = _representatives(t.column("key").to_numpy(), code, t.column("check").to_numpy() if "check" in kinds else None)  # the second hash must agree as well
+                chosen = sure | many
+            yield from t.select(keep).filter(pa.array(chosen)).combine_chunks().to_batches()
+
+    spread = rows.repartition(n, F.when(F.col("sure"), F.xxhash64(doc)).otherwise(F.col("key"))).sortWithinPartitions("sure", "key")
     return spread.mapInArrow(meet, ", ".join(f"`{c}` {kinds[c]}" for c in keep))
 
 
