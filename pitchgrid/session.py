@@ -42,7 +42,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Shuffle partitions for a shuffle about the size of df: the session's number, more where df is known to be larger."""
+    """Shuffle partitions for a shuffle about the size of df: the session's number, more where df is known to be larger.
+
+    Above 200,000, which a driver can still schedule, partitions grow; operators that use this stream
+    sorted partitions and hold none."""
     least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
     return least if size >= 1 << 55 else max(least, min(200_000, -(-size // bytes_each)))  # 2^55: Spark's "unknown"
 
