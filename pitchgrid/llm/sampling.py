@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitchgrid.llm.paths import clip_of_path, frame_of_path, name_of_path, one_spelling
 from pitchgrid.llm.ranking import hash_rank, hash_share, salted
 from pitchgrid.operators.blocks import null_safe
+from pitchgrid.session import checkpointed
 
 
 def frozen_bottom_k(df: DataFrame, item: Sequence[str], strata: Sequence[str], batch: str, rate: float = 0.1, salt: str = "review", keep: Sequence[str] = ()) -> DataFrame:
@@ -35,6 +36,7 @@ def frozen_bottom_k(df: DataFrame, item: Sequence[str], strata: Sequence[str], b
     first = df.groupBy(*item).agg(F.min(F.when(known, F.struct(F.col(batch).alias("b"), named.alias("f")))).alias("__known"), F.min(named).alias("__any"), F.max((~known).cast("int")).alias("__loose"))
     value = lambda c: F.coalesce(F.col("__known.f"), F.col("__any"))[c].alias(c)
     rows = first.select(*item, F.col("__known.b").alias(batch), *[value(c) for c in (*strata, *keep)], "__loose").withColumn("__h", salted(salt, *map(F.col, item)))
+    rows = checkpointed(rows)  # ranks, sizes and loose rows each need other columns of it, for which one exchange would run three times
     batched = rows.where(F.col(batch).isNotNull())
     sizes = batched.groupBy(*strata, batch).agg(F.count(F.lit(1)).alias("__n")).withColumn("__cum", F.sum("__n").over(Window.partitionBy(*strata).orderBy(batch)))
     ceil_of = lambda n: F.ceil(F.round(n * F.lit(rate), 9))
