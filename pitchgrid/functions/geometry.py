@@ -133,9 +133,9 @@ def mirror_box(box: Box, field: Box) -> Box:
 
 
 def line_side(x: Column, y: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
-    """Signed distance of a point to the directed line a -> b."""
+    """Signed distance of a point to the directed line a -> b, positive on its right in pixel coordinates (y down)."""
     dx, dy = b[0] - a[0], b[1] - a[1]
-    return ((x - a[0]) * dy - (y - a[1]) * dx) / float(np.hypot(dx, dy))
+    return (dx * (y - a[1]) - dy * (x - a[0])) / float(np.hypot(dx, dy))
 
 
 def segment_ratio(x: Column, y: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:

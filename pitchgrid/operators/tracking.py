@@ -6,11 +6,15 @@ reach Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchgrid.operators.blocks import block_rows, blocked_row_number, runs_of
 from pitchgrid.sources.detections import BALLS, is_in
 
 
@@ -195,55 +199,68 @@ def steady_goals(df: DataFrame, names: tuple[str, ...], alpha: float = 0.25, jum
     return out.select("match_id", "class_name", "g.frame_index", *[F.round(f"g.{c}", 6).alias(c) for c in b], "g.replaced")
 
 
-def calibrated_crossings(df: DataFrame, line: tuple[tuple[float, float], tuple[float, float]], wall: tuple[tuple[float, float], tuple[float, float]], sign: float = 1.0, side: str = "left", margin: float = 0.08, region: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """The first qualifying crossing of a goal line per match: confirmed at contact with the back wall, or rejected."""
+def calibrated_crossings(
+    df: DataFrame, line: tuple[tuple[float, float], tuple[float, float]], wall: tuple[tuple[float, float], tuple[float, float]], sign: int = 1, side: str = "left", margin: float = 0.08,
+    *, lookback: int = 6, ahead: int = 6, need: int = 3, motion: float = 2.0, reach: int = 24, radius_share: float = 0.75, tolerance: float = 2.0, block: int = 4096,
+) -> DataFrame:
+    """Of each ball track its first qualifying crossing of a goal line: confirmed at contact with the back wall, or rejected.
 
-    def signed(p: np.ndarray, ab) -> np.ndarray:  # noqa: ANN001
-        (ax, ay), (bx, by) = ab
-        dx, dy = bx - ax, by - ay
-        return ((p[:, 0] - ax) * dy - (p[:, 1] - ay) * dx) / np.hypot(dx, dy)
+    A crossing goes from the outer to the inner side (`sign`) between samples at most 2 frames apart,
+    within the line's segment (and margin), by at least `motion`, with a sample outside among the
+    `lookback` before and `need` successive ones inside among the `ahead` from it on. Contact is the first of `reach` samples
+    on the wall's segment that is nearer to it than radius_share of the ball's radius and the tolerance.
+    Rows without a track are one track. Tracks are cut into blocks of `block` samples with a halo, so none has to fit a task.
+    """
+    if sign not in (-1, 1) or line[0] == line[1] or wall[0] == wall[1] or need < 1:
+        raise ValueError("a line has two ends, sign is 1 or -1, need is positive")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        (ax, ay), (bx, by) = line
+    def place(p: np.ndarray, ab) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+        (ax, ay), (bx, by) = ab
         dx, dy = bx - ax, by - ay
-        for key, g in sorted(pdf.groupby("key"), key=lambda kv: (kv[1]["frame_index"].min(), kv[0])):
-            g = g.sort_values(["frame_index", "score", "det_seq"], ascending=[True, False, True]).drop_duplicates("frame_index")
-            p, f = g[["cx", "cy"]].to_numpy(float), g["frame_index"].to_numpy()
-            radius = np.maximum(g["x2"] - g["x1"], g["y2"] - g["y1"]).to_numpy() / 2
-            d = sign * signed(p, line)
-            for i in range(1, len(p)):
-                if f[i] - f[i - 1] > 2 or not (d[i - 1] <= 0 < d[i]):
-                    continue
-                share = -d[i - 1] / (d[i] - d[i - 1])
-                at = p[i - 1] + share * (p[i] - p[i - 1])
-                along = ((at[0] - ax) * dx + (at[1] - ay) * dy) / (dx * dx + dy * dy)
-                if not -margin <= along <= 1 + margin or np.hypot(*(p[i] - p[i - 1])) < 2 or not (d[max(0, i - 6) : i] < 0).any():
-                    continue
-                if region and not (region[0] <= p[i, 0] <= region[2] and region[1] <= p[i, 1] <= region[3]):
-                    continue
-                inside, last = [], None
-                for j in range(i, min(len(p), i + 7)):
-                    if (last is not None and f[j] - f[last] > 2) or d[j] <= 0:
-                        break
-                    inside.append(j)
-                    last = j
-                if len(inside) < 3:
-                    continue
-                limit = 0.75 * radius + 2
-                contact = next((j for j in range(i, min(len(p), i + 25)) if abs(signed(p[j : j + 1], wall)[0]) <= limit[j]), None)
-                confidence = round(min(0.95, 0.68 + 0.04 * len(inside)), 6)
-                kind, frame = ("goal_rejected", f[i]) if contact is None else ("goal_confirmed", f[contact])
-                out.append((pdf["match_id"].iloc[0], int(frame), kind, "missing_back_wall_contact" if contact is None else None, int(f[i]), side, int(key), confidence, len(inside)))
-                return pd.DataFrame(out, columns=COLS)
-        return pd.DataFrame(out, columns=COLS)
-
-    cols = ["match_id", "frame_index", "det_seq", "score", "x1", "y1", "x2", "y2", "cx", "cy"]
-    rows = df.where(is_in(BALLS)).select(*cols, F.coalesce("track_id", F.lit(-1).cast("long")).alias("key"))
-    return rows.groupBy("match_id").applyInPandas(run, "match_id string, frame_index long, event_type string, rejection_reason string, crossing_frame long, goal_side string, actor long, confidence double, inside_frames long")
-
-
-COLS = ["match_id", "frame_index", "event_type", "rejection_reason", "crossing_frame", "goal_side", "actor", "confidence", "inside_frames"]
+        x, y = p[:, 0] - ax, p[:, 1] - ay
+        return (dx * y - dy * x) / np.hypot(dx, dy), (x * dx + y * dy) / (dx * dx + dy * dy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, ["__key", "__block"]):
+            code = [group.column(c).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in ("__key", "__block")]
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in code], axis=0), True])
+            col = {c: group.column(c).to_numpy(zero_copy_only=False) for c in ("frame_index", "x1", "y1", "x2", "y2", "cx", "cy", "__core", "__at")}
+            rows, out = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                f, p, core = col["frame_index"][a:b], np.column_stack([col["cx"][a:b], col["cy"][a:b]]), col["__core"][a:b]
+                d, along = place(p, line)
+                d = sign * d
+                off, there = place(p, wall)
+                limit = radius_share * np.maximum(col["x2"][a:b] - col["x1"][a:b], col["y2"][a:b] - col["y1"][a:b]) * 0.5 + tolerance
+                touch = (np.abs(off) <= limit) & (there >= -margin) & (there <= 1 + margin)
+                moved = np.sqrt(((p[1:] - p[:-1]) ** 2).sum(axis=1))
+                fits = (np.diff(f) <= 2) & (d[:-1] <= 0) & (d[1:] > 0) & (along[1:] >= -margin) & (along[1:] <= 1 + margin) & (moved >= motion) & core[1:]
+                for i in (np.flatnonzero(fits) + 1).tolist():
+                    if not (d[max(0, i - lookback) : i] <= 0).any():
+                        continue
+                    stop = np.flatnonzero((d[i : i + ahead] <= 0) | np.r_[False, np.diff(f[i : i + ahead]) > 2])
+                    inside = int(stop[0]) if len(stop) else len(d[i : i + ahead])
+                    if inside < need:
+                        continue
+                    hit = np.flatnonzero(touch[i : i + reach])
+                    found = i + int(hit[0]) if len(hit) else None
+                    rows.append(a + i)
+                    out.append((int(f[i if found is None else found]), found is not None, int(f[i]), inside))
+            if rows:
+                frames, confirmed, crossing, inside = zip(*out, strict=True)
+                take = group.select(["match_id", "track", "__at"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+                yield pa.record_batch([*take.columns, pa.array(frames, pa.int64()), pa.array(confirmed), pa.array(crossing, pa.int64()), pa.array(inside, pa.int64())], names=[*take.schema.names, "frame_index", "confirmed", "crossing_frame", "inside_frames"])
+
+    rows = df.where(is_in(BALLS)).select("match_id", F.coalesce("track_id", F.lit(-1).cast("long")).alias("track"), "frame_index", "det_seq", "x1", "y1", "x2", "y2", "cx", "cy")
+    rows = rows.withColumns({"__key": F.concat_ws("/", F.col("track").cast("string"), "match_id"), "__stretch": F.floor(F.col("frame_index") / block)})
+    rows = blocked_row_number(rows, ["__key"], [F.col("frame_index"), F.col("det_seq")], "__stretch", "__at")
+    found = block_rows(rows, "__key", "__at", block, block, max(lookback, ahead, reach) + 1, ranked=True).mapInArrow(run, "match_id string, track long, __at long, frame_index long, confirmed boolean, crossing_frame long, inside_frames long")
+    first = found.groupBy("match_id", "track").agg(F.min(F.struct("__at", "frame_index", "confirmed", "crossing_frame", "inside_frames")).alias("r")).select("match_id", "track", "r.*")
+    ok = F.col("confirmed")
+    return first.select(
+        "match_id", "frame_index", F.when(ok, "goal_confirmed").otherwise("goal_rejected").alias("event_type"), F.when(~ok, "missing_back_wall_contact").alias("rejection_reason"), "crossing_frame",
+        F.lit(side).alias("goal_side"), F.col("track").alias("actor"), F.when(ok, F.round(F.least(F.lit(0.95), 0.68 + 0.04 * F.col("inside_frames")), 6)).otherwise(0.7).alias("confidence"), "inside_frames",
+    )
 
 
 def held_tracks(df: DataFrame, hold: int = 12) -> DataFrame:

@@ -15,7 +15,7 @@ from pitchgrid.operators import summaries as S
 from pitchgrid.operators.filters import best_per
 from pitchgrid.plans import match_queries as M
 from pitchgrid.session import checkpointed, table
-from pitchgrid.sources.detections import BALLS, DET, FIELD, ROBOTS, detections, is_in, read_detections, sql_in, typed
+from pitchgrid.sources.detections import BALLS, DET, FIELD, ROBOTS, detections, is_in, read_detections, typed
 from pitchgrid.streaming import live
 
 QUERIES: dict = {}
@@ -265,35 +265,14 @@ def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(detections(spark, sf_dir))
 
 
-_R, _F, _B = sql_in(ROBOTS), sql_in(FIELD), sql_in(BALLS)
-_RUN = f"""WITH {DET}, {M.PLAY}, {M.OWN}, sp AS (SELECT match_id AS run, max(frame_index) - min(frame_index) + 1 AS span FROM det GROUP BY 1),
-cov AS (SELECT match_id AS run, count(DISTINCT CASE WHEN class_name IN {_F} THEN frame_index END) AS f, count(DISTINCT CASE WHEN class_name IN {_R} THEN frame_index END) AS r FROM det GROUP BY 1),
-pb AS (SELECT match_id AS run, count(DISTINCT frame_index) AS b FROM play GROUP BY 1), ow AS (SELECT match_id AS run, round(avg(CASE WHEN owner_seq IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS possession FROM own GROUP BY 1),
-ju AS (SELECT match_id AS run, round(max(sqrt((cx - px) * (cx - px) + (cy - py) * (cy - py)) / (frame_index - pf)), 6) AS j FROM ({M._STEP.format('play', 'x')}) WHERE frame_index > pf GROUP BY 1),
-un AS (SELECT match_id AS run, count(*) AS n, round(1 - round(avg(CASE WHEN team IS NOT NULL AND lower(team) <> 'unknown' THEN 1.0::DOUBLE ELSE 0 END), 6), 6) AS u FROM det WHERE class_name IN {_R} GROUP BY 1),
-rs AS (SELECT run, round(coalesce(b, 0) / span, 6) AS ball_coverage, round(f / span, 6) AS field_coverage, round(r / span, 6) AS robot_coverage, coalesce(j, 0) AS max_ball_jump, coalesce(u, 0) AS unknown_team, coalesce(possession, 0) AS possession
-  FROM sp LEFT JOIN cov USING (run) LEFT JOIN pb USING (run) LEFT JOIN ju USING (run) LEFT JOIN un USING (run) LEFT JOIN ow USING (run))
-"""
-
-
-@q("QA01_coverage", _RUN + "SELECT * FROM rs")
+@q("QA01_coverage")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_summary(detections(spark, sf_dir)).select("run", "ball_coverage", "field_coverage", "robot_coverage", "max_ball_jump", "unknown_team", "possession")
 
 
-_ISS = _RUN + """, iss AS (SELECT run, 'low_ball_coverage' AS code, CASE WHEN ball_coverage < 0.3::DOUBLE THEN 'error' WHEN ball_coverage < 0.75::DOUBLE THEN 'warning' END AS severity FROM rs
-UNION ALL SELECT run, 'low_field_coverage', CASE WHEN field_coverage < 0.5::DOUBLE THEN 'error' WHEN field_coverage < 0.9::DOUBLE THEN 'warning' END FROM rs
-UNION ALL SELECT run, 'low_robot_coverage', CASE WHEN robot_coverage < 0.5::DOUBLE THEN 'warning' END FROM rs
-UNION ALL SELECT run, 'large_ball_jump', CASE WHEN max_ball_jump > 120 THEN 'error' WHEN max_ball_jump > 45 THEN 'warning' END FROM rs
-UNION ALL SELECT run, 'unknown_robot_teams', CASE WHEN unknown_team > 0.75::DOUBLE THEN 'error' WHEN unknown_team > 0.35::DOUBLE THEN 'warning' END FROM rs)
-"""
-
-
-@q("QA02_issues", _ISS + "SELECT * FROM iss WHERE severity IS NOT NULL")
+@q("QA02_issues")
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rules that rest on coverage, jumps and teams."""
-    codes = ["low_ball_coverage", "low_field_coverage", "low_robot_coverage", "large_ball_jump", "unknown_robot_teams"]
-    return quality.issue_rows(run_summary(detections(spark, sf_dir))).where(F.col("code").isin(codes)).select("run", "code", "severity")
+    return quality.issue_rows(run_summary(detections(spark, sf_dir)))
 
 
 @q("QA03_status")
@@ -389,12 +368,20 @@ def typed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("SRC06_merged_scan")
 def merged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources of detections united and suppressed."""
+    """Two files of detections, written here, scanned as one and suppressed: what the two have of one thing stands once."""
+    at, d = scratch(spark), detections(spark, sf_dir).select("match_id", "frame_index", "class_name", "det_seq", "score", "x1", "y1", "x2", "y2")
+    model = F.coalesce(F.col("source"), F.lit("")) == "sam3"
+    sources = detections(spark, sf_dir).select(*d.columns, model.alias("model"))
+    for name, part in (("model", F.col("model")), ("colour", ~F.col("model"))):
+        sources.where(part).drop("model").write.parquet(f"{at}/{name}")
+    return merged(spark, [f"{at}/model", f"{at}/colour"], 0.85).groupBy("match_id", "class_name").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merged(spark: SparkSession, paths: list[str], threshold: float) -> DataFrame:
+    """Rows of all files, those suppressed that overlap a better one of their frame and class."""
     from pitchgrid.operators.folds import suppress
 
-    d = detections(spark, sf_dir)
-    both = d.where("source = 'sam3'").unionByName(d.where("source <> 'sam3'"))
-    return suppress(both, 0.85).groupBy("match_id", "class_name").agg(F.count(F.lit(1)).alias("rows"))
+    return suppress(spark.read.parquet(*paths), threshold)
 
 
 @q("SRC11_sampled_frames", "SELECT match_id, unnest(range(a, z + 1, 30)) AS frame_index FROM (SELECT match_id, min(frame_index) AS a, max(frame_index) AS z FROM frame_states WHERE match_id IS NOT NULL AND frame_index IS NOT NULL GROUP BY 1)")
@@ -415,26 +402,28 @@ def prompt_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_plan(spark, sf_dir).withColumn("prompt", F.element_at(F.array(*map(F.lit, ("ball", "robot", "field", "goal"))), i + 1))
 
 
-def _streamed(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
     at = scratch(spark)
-    live.run_to_table(stream, f"{at}/out", f"{at}/state", mode)
+    live.run_to_table(stream, f"{at}/out", f"{at}/state")
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 @q("STR01_tumbling_counts")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by hour and type as a stream; the last windows stay open until the watermark passes them."""
-    return _streamed(spark, live.windowed_counts(live.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", "1 hour", None, ["event_type"]))
+    """Events by hour and type as a stream, open windows with what they have."""
+    stream = live.windowed_counts(live.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", "1 hour", None, ["event_type"])
+    return live.latest(stream, ["start", "end", "event_type"], scratch(spark))
 
 
 @q("STR02_sliding_counts")
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, live.windowed_counts(live.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", "2 hours", "1 hour", ["event_type"]))
+    stream = live.windowed_counts(live.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", "2 hours", "1 hour", ["event_type"])
+    return live.latest(stream, ["start", "end", "event_type"], scratch(spark))
 
 
 @q("STR03_sessions")
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, live.sessions(live.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", "30 minutes", ["user_id"]))
+    return live.latest(live.sessions(live.source(spark, f"{sf_dir}/events.parquet"), "ts", "1 hour", "30 minutes", ["user_id"]), ["start", "end", "user_id"], scratch(spark), "complete")
 
 
 @q("STR04_live_tracks")
@@ -442,7 +431,9 @@ def live_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracker as state of a stream over the raw detections, repeated deliveries dropped within a watermark."""
     raw = live.source(spark, f"{sf_dir}/detections.parquet")
     rows = raw.where("match_id is not null and frame_index is not null and score between 0 and 1 and size(box) = 4").withColumn("class_name", F.lower(F.trim("class_name")))
-    once = live.deduplicated(rows.where(is_in(ROBOTS + BALLS)).where("ingested_at is not null"), "ingested_at", "10 days", ["match_id", "frame_index", "class_name", "score", "box"])
+    # Rows without a time of arrival count as the oldest; the watermark is wider than any delay of the source.
+    rows = rows.where(is_in(ROBOTS + BALLS)).withColumn("ingested_at", F.coalesce("ingested_at", F.lit("2000-01-01").cast("timestamp")))
+    once = live.deduplicated(rows, "ingested_at", "36500 days", ["match_id", "frame_index", "class_name", "score", "box"])
     cols = [F.get("box", F.lit(i)).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
     return _streamed(spark, live.live_tracks(once.select("match_id", "class_name", "frame_index", F.col("det_id").alias("det_seq"), *cols)))
 

@@ -35,14 +35,14 @@ def normalised_output(raw: DataFrame, width: int, height: int, least: float = 0.
     return raw.where(F.col("score") >= least).withColumn("box", F.array(scale(0, width), scale(1, height), scale(2, width), scale(3, height)))
 
 
-@q("SRC14_normalised_output", f"""WITH {DET} SELECT det_seq, round(x1 + 1e-7::DOUBLE, 4) AS x1, round(y2 + 1e-7::DOUBLE, 4) AS y2 FROM det WHERE score >= 0.45::DOUBLE""")
+@q("SRC14_normalised_output", f"""WITH {DET} SELECT det_seq, round(x1 + 1e-7::DOUBLE, 4) AS x1, round(y1 + 1e-7::DOUBLE, 4) AS y1, round(x2 + 1e-7::DOUBLE, 4) AS x2, round(y2 + 1e-7::DOUBLE, 4) AS y2 FROM det WHERE score >= 0.45::DOUBLE""")
 def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes given in shares of the frame for every other row come out as those given in pixels."""
     d = detections(spark, sf_dir)
     share = F.array(F.col("x1") / 2048, F.col("y1") / 2048, F.col("x2") / 2048, F.col("y2") / 2048)
     raw = d.withColumn("box", F.when(F.col("det_seq") % 2 == 0, share).otherwise(F.array("x1", "y1", "x2", "y2")))
     out = normalised_output(raw, 2048, 2048)
-    return out.select("det_seq", F.round(F.get("box", F.lit(0)) + 1e-7, 4).alias("x1"), F.round(F.get("box", F.lit(3)) + 1e-7, 4).alias("y2"))
+    return out.select("det_seq", *[F.round(F.get("box", F.lit(i)) + 1e-7, 4).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
 
 
 @q("FLT11_heat_selection", f"WITH {DET}, {M.PLACED} SELECT det_seq FROM path WHERE ({M._ART}) IS NULL AND field_x_m BETWEEN 0.1::DOUBLE AND {M.PITCH.length_m - 0.1}::DOUBLE AND field_y_m BETWEEN 0.1::DOUBLE AND {M.PITCH.width_m - 0.1}::DOUBLE")

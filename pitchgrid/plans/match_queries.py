@@ -19,6 +19,7 @@ CORNERS = [(100.0, 60.0), (1180.0, 60.0), (1260.0, 680.0), (20.0, 680.0)]
 METRES = [(0.0, 0.0), (2.43, 0.0), (2.43, 1.82), (0.0, 1.82)]
 PITCH = G.Pitch.fit(CORNERS, METRES, 2.43, 1.82)
 LINE, WALL = ((200.0, 100.0), (200.0, 600.0)), ((120.0, 100.0), (120.0, 600.0))
+STILL_FRAMES, STILL_PX = 6, 30.0
 POLYGON = [(100.0, 60.0), (1180.0, 60.0), (1260.0, 680.0), (20.0, 680.0)]
 
 QUERIES: dict = {}
@@ -116,11 +117,12 @@ def clip_expand(d: DataFrame) -> DataFrame:
     return d.select("det_seq", *[getattr(c, k).alias(f"clip_{k}") for k in ("x1", "y1", "x2", "y2")], *[F.round(getattr(e, k), 6).alias(f"exp_{k}") for k in ("x1", "y1", "x2", "y2")])
 
 
-@q("PRJ14_mirrored_goals", f"""{W}, {BIG} SELECT a.det_seq, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN a.x1 ELSE f.x1 + f.x2 - a.x2 END, 6) AS mx1, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN f.y1 + f.y2 - a.y2 ELSE a.y1 END, 6) AS my1
+@q("PRJ14_mirrored_goals", f"""{W}, {BIG} SELECT a.det_seq, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN a.x1 ELSE f.x1 + f.x2 - a.x2 END, 6) AS mx1, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN f.y1 + f.y2 - a.y2 ELSE a.y1 END, 6) AS my1,
+  round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN a.x2 ELSE f.x1 + f.x2 - a.x1 END, 6) AS mx2, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN f.y1 + f.y2 - a.y1 ELSE a.y2 END, 6) AS my2
   FROM det a JOIN big f ON a.match_id = f.match_id AND a.frame_index = f.frame_index WHERE a.class_name IN {_G}""")
 def mirrored(d: DataFrame) -> DataFrame:
     m = G.mirror_box(G.Box.of(), G.Box.of("f_"))
-    return d.where(is_in(GOALS)).join(L.largest_field(d), L.FRAME).select("det_seq", F.round(m.x1, 6).alias("mx1"), F.round(m.y1, 6).alias("my1"))
+    return d.where(is_in(GOALS)).join(L.largest_field(d), L.FRAME).select("det_seq", *[F.round(getattr(m, c), 6).alias(f"m{c}") for c in ("x1", "y1", "x2", "y2")])
 
 
 _M = [f"({x!r})::DOUBLE" for x in PITCH.matrix]
@@ -146,11 +148,11 @@ def projected(d: DataFrame) -> DataFrame:
 _DX, _DY = LINE[1][0] - LINE[0][0], LINE[1][1] - LINE[0][1]
 
 
-@q("PRJ21_line_position", f"""{W} SELECT det_seq, round(((cx - {LINE[0][0]}::DOUBLE) * {_DY}::DOUBLE - (cy - {LINE[0][1]}::DOUBLE) * {_DX}::DOUBLE) / {(_DX**2 + _DY**2) ** 0.5}::DOUBLE, 6) AS side,
+@q("PRJ21_line_position", f"""{W} SELECT det_seq, round(({_DX}::DOUBLE * (cy - {LINE[0][1]}::DOUBLE) - {_DY}::DOUBLE * (cx - {LINE[0][0]}::DOUBLE)) / {(_DX**2 + _DY**2) ** 0.5}::DOUBLE, 6) + 0.0::DOUBLE AS side,
   round(((cx - {LINE[0][0]}::DOUBLE) * {_DX}::DOUBLE + (cy - {LINE[0][1]}::DOUBLE) * {_DY}::DOUBLE) / {_DX**2 + _DY**2}::DOUBLE, 6) AS along FROM det WHERE class_name IN {_B}""")
 def line_position(d: DataFrame) -> DataFrame:
     x, y = F.col("cx"), F.col("cy")
-    return d.where(is_in(BALLS)).select("det_seq", F.round(G.line_side(x, y, *LINE), 6).alias("side"), F.round(G.segment_ratio(x, y, *LINE), 6).alias("along"))
+    return d.where(is_in(BALLS)).select("det_seq", (F.round(G.line_side(x, y, *LINE), 6) + 0.0).alias("side"), F.round(G.segment_ratio(x, y, *LINE), 6).alias("along"))
 
 
 @q("PRJ23_frame_offset", f"{W} SELECT det_seq, frame_index + 150 AS frame_index, frame_index AS clip_frame_index FROM det")
@@ -541,13 +543,13 @@ def fits(d: DataFrame) -> DataFrame:
 
 _FITS = f"""{W}, {PLACED}, one AS (SELECT * FROM path WHERE track_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id, track_id, frame_index ORDER BY score DESC, det_seq) = 1),
 j AS (SELECT a.match_id, a.track_id, a.frame_index, a.field_x_m AS ax, a.field_y_m AS ay, (b.frame_index - a.frame_index) / 30.0::DOUBLE AS t, b.field_x_m AS x, b.field_y_m AS y FROM one a JOIN one b ON a.match_id = b.match_id AND a.track_id = b.track_id AND b.frame_index BETWEEN a.frame_index - 18 AND a.frame_index),
-ff AS (SELECT match_id, track_id, frame_index, min(ax) AS field_x_m, min(ay) AS field_y_m, count(*) AS samples, regr_slope(x, t) AS vx, regr_slope(y, t) AS vy FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 6)
+ff AS (SELECT match_id, track_id, frame_index, min(ax) AS field_x_m, min(ay) AS field_y_m, count(*) AS samples, regr_slope(x, t) AS vx, regr_slope(y, t) AS vy, sqrt(greatest(0.0::DOUBLE, (regr_syy(x, t) - regr_slope(x, t) * regr_sxy(x, t) + regr_syy(y, t) - regr_slope(y, t) * regr_sxy(y, t)) / count(*))) AS rmse FROM j GROUP BY 1, 2, 3 HAVING count(*) >= 6)
 """
 
 
-@q("WIN10_motion_fits", _FITS + "SELECT match_id, track_id, frame_index, samples, round(vx + 1e-7::DOUBLE, 4) AS vx, round(vy + 1e-7::DOUBLE, 4) AS vy FROM ff")
+@q("WIN10_motion_fits", _FITS + "SELECT match_id, track_id, frame_index, samples, round(vx + 1e-7::DOUBLE, 4) AS vx, round(vy + 1e-7::DOUBLE, 4) AS vy, round(rmse + 1e-7::DOUBLE, 4) AS rmse FROM ff")
 def motion_fits(d: DataFrame) -> DataFrame:
-    return fits(d).select("match_id", "track_id", "frame_index", "samples", F.round(F.col("vx") + 1e-7, 4).alias("vx"), F.round(F.col("vy") + 1e-7, 4).alias("vy"))
+    return fits(d).select("match_id", "track_id", "frame_index", "samples", F.round(F.col("vx") + 1e-7, 4).alias("vx"), F.round(F.col("vy") + 1e-7, 4).alias("vy"), F.round(F.col("rmse") + 1e-7, 4).alias("rmse"))
 
 
 @q("FOR01_forecasts")
@@ -590,7 +592,7 @@ fs AS (SELECT *, CASE WHEN human THEN 'human_intervention' WHEN (NOT ball AND co
 
 
 def states(d: DataFrame) -> DataFrame:
-    return gamestate.frame_states(d, disabled=6)
+    return gamestate.frame_states(d, disabled=STILL_FRAMES)
 
 
 @q("STM04_frame_states", f"""{W}, {STATES} SELECT match_id, frame_index, state, CASE state WHEN 'human_intervention' THEN 0.8::DOUBLE WHEN 'dead_ball' THEN 0.7::DOUBLE ELSE CASE WHEN play THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END END AS confidence, play AS ball_in_play,
@@ -601,7 +603,7 @@ def frame_states(d: DataFrame) -> DataFrame:
 
 @q("STM05_robots_disabled")
 def disabled(d: DataFrame) -> DataFrame:
-    return gamestate.robots_disabled(d, after=6)
+    return gamestate.robots_disabled(d, STILL_FRAMES, STILL_PX)
 
 
 @q("WIN04_segments", f"""{W}, {STATES}, i AS (SELECT match_id, frame_index, state, frame_index - row_number() OVER (PARTITION BY match_id, state ORDER BY frame_index) AS g, CASE state WHEN 'human_intervention' THEN 0.8::DOUBLE WHEN 'dead_ball' THEN 0.7::DOUBLE ELSE CASE WHEN play THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END END AS c FROM fs)
@@ -649,14 +651,13 @@ def all_events(d: DataFrame) -> DataFrame:
     t = lambda c: F.coalesce(F.col(c), F.lit(-1).cast("long"))
     c = collisions(d).select(*L.FRAME, F.lit("collision").alias("event_type"), F.lit(0.55).alias("confidence"), F.concat_ws(",", F.least(t("track_a"), t("track_b")).cast("string"), F.greatest(t("track_a"), t("track_b")).cast("string")).alias("actors"), none("goal_side"), none("target_side"))
     g = goal_hits(d).select(*L.FRAME, F.lit("goal_candidate").alias("event_type"), F.lit(0.6).alias("confidence"), F.col("actor").cast("string").alias("actors"), "goal_side", none("target_side"))
-    s = shots(d).select(*L.FRAME, F.lit("shot").alias("event_type"), F.lit(0.5).alias("confidence"), F.col("actor").cast("string").alias("actors"), none("goal_side"), "target_side")
+    s = shots(d).select(*L.FRAME, F.lit("shot").alias("event_type"), F.lit(0.5).alias("confidence"), F.coalesce(F.col("actor").cast("string"), F.lit("None")).alias("actors"), none("goal_side"), "target_side")
     return p.unionByName(c).unionByName(g).unionByName(s)
 
 
-@q("SET02_all_events", _CHANGES + f""", {PLAY}, {HITS} SELECT event_type, count(*) AS events FROM (SELECT event_type FROM pi UNION ALL SELECT 'goal_candidate' FROM hits
-  UNION ALL SELECT 'collision' FROM det a JOIN det b ON {SAME} AND a.det_seq < b.det_seq WHERE a.class_name IN {_R} AND b.class_name IN {_R} AND {dist('a.', 'b.')} <= 55) GROUP BY 1""")
+@q("SET02_all_events")
 def event_counts(d: DataFrame) -> DataFrame:
-    return all_events(d).where("event_type <> 'shot'").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
+    return all_events(d)
 
 
 @q("DED03_deduplicated_events")
@@ -706,7 +707,7 @@ def goal_confirmation(d: DataFrame) -> DataFrame:
 
 @q("STM07_calibrated_crossings")
 def crossings(d: DataFrame) -> DataFrame:
-    return tracking.calibrated_crossings(d, LINE, WALL, sign=-1.0)
+    return tracking.calibrated_crossings(d, LINE, WALL)
 
 
 @q("STM08_steady_goals")
@@ -752,13 +753,14 @@ def missing_goal(d: DataFrame) -> DataFrame:
 @q("DST15_inferred_goals", f"""{W}, {BIG}, g AS (SELECT match_id, frame_index, count(DISTINCT class_name) AS n FROM det WHERE class_name IN ('goal_blue', 'goal_yellow') GROUP BY 1, 2),
 b AS (SELECT * FROM det WHERE class_name IN ('goal_blue', 'goal_yellow') QUALIFY row_number() OVER (PARTITION BY match_id, frame_index ORDER BY score DESC, det_seq) = 1)
 SELECT b.match_id, b.frame_index, CASE b.class_name WHEN 'goal_blue' THEN 'goal_yellow' ELSE 'goal_blue' END AS class_name, 0.25::DOUBLE AS score,
-  round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN b.x1 ELSE f.x1 + f.x2 - b.x2 END, 6) AS x1, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN f.y1 + f.y2 - b.y2 ELSE b.y1 END, 6) AS y1
+  round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN b.x1 ELSE f.x1 + f.x2 - b.x2 END, 6) AS x1, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN f.y1 + f.y2 - b.y2 ELSE b.y1 END, 6) AS y1,
+  round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN b.x2 ELSE f.x1 + f.x2 - b.x1 END, 6) AS x2, round(CASE WHEN f.y2 - f.y1 > f.x2 - f.x1 THEN f.y1 + f.y2 - b.y1 ELSE b.y2 END, 6) AS y2
 FROM b JOIN g USING (match_id, frame_index) JOIN big f ON f.match_id = b.match_id AND f.frame_index = b.frame_index WHERE n = 1""")
 def inferred_goals(d: DataFrame) -> DataFrame:
     one = missing_goal(d)
     best = L.best_per(d.where(F.col("class_name").isin("goal_blue", "goal_yellow")), L.FRAME, [F.desc("score"), F.col("det_seq")])
     m = G.mirror_box(G.Box.of(), G.Box.of("f_"))
-    return best.join(one, L.FRAME).join(L.largest_field(d), L.FRAME).select(*L.FRAME, F.col("missing").alias("class_name"), F.lit(0.25).alias("score"), F.round(m.x1, 6).alias("x1"), F.round(m.y1, 6).alias("y1"))
+    return best.join(one, L.FRAME).join(L.largest_field(d), L.FRAME).select(*L.FRAME, F.col("missing").alias("class_name"), F.lit(0.25).alias("score"), *[F.round(getattr(m, c), 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 # Given event and path tables ---------------------------------------------------------------------

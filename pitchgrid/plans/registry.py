@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pitchgrid.plans import core_queries, dataset_queries, extra_queries, match_queries
+from pitchgrid.plans import core_queries, dataset_queries, extra_queries, fold_sql, match_queries, quality_sql
 
-MODULES = [core_queries, match_queries, dataset_queries, extra_queries]
+MODULES = [core_queries, match_queries, dataset_queries, extra_queries, fold_sql, quality_sql]
 FLAGSHIP = match_queries.QUERIES["AGG05_possession_by_team"]
 
 
 def queries() -> dict:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {name: q for m in MODULES for name, q in getattr(m, "QUERIES", {}).items()}
 
 
 def oracles() -> dict:

@@ -74,3 +74,21 @@ def live_tracks(detections: DataFrame, threshold: float = 0.25, max_age: int = 1
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Everything there is now, exactly once, into parquet files."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest(stream: DataFrame, keys: list[str], at: str, mode: str = "update") -> DataFrame:
+    """What an aggregating stream has counted by now, open windows included.
+
+    Every batch writes the rows it changed (mode update) or all rows (complete) to a folder of its own number, so a batch that runs
+    again replaces itself; of each key the row of the last batch holds, and in mode complete the last batch."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{at}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == F.lit(last)).drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

@@ -87,12 +87,26 @@ def test_goals(spark):
 
 
 def test_calibrated_crossing(spark):
-    def run(xs, wall):
-        d = det(spark, *[("ball", f, (x - 1, 49, x + 1, 51), 3) for f, x in enumerate(xs)])
-        return [(r.frame_index, r.event_type, r.crossing_frame, r.inside_frames) for r in tracking.calibrated_crossings(d, ((10.0, 0.0), (10.0, 100.0)), ((wall, 0.0), (wall, 100.0)), sign=-1.0).collect()]
-
-    assert run([20, 15, 11, 9, 7, 5], 4.0) == [(5, "goal_confirmed", 3, 3)]
-    assert run([20, 15, 11, 9, 8, 7, 6], -10.0) == [(3, "goal_rejected", 3, 4)]
+    line = ((10.0, 0.0), (10.0, 100.0))
+
+    def run(rows, wall=((4.0, 0.0), (4.0, 100.0)), **kw):
+        got = tracking.calibrated_crossings(det(spark, *rows), line, wall, side="blue", **kw).collect()
+        return sorted((r.frame_index, r.event_type, r.rejection_reason, r.crossing_frame, r.inside_frames, r.actor, r.confidence) for r in got)
+
+    path = lambda xs, track=10, first=0, y=50: [("ball", first + f, (x - 1, y - 1, x + 1, y + 1), track) for f, x in enumerate(xs)]
+    assert run(path([20, 15, 11, 9, 7, 5])) == [(5, "goal_confirmed", None, 3, 3, 10, 0.8)]
+    assert run(path([20, 15, 9, 13]), need=2) == []  # one sample inside
+    assert run(path([20, 15, 11, 9, 8, 7, 6]), ((-10.0, 0.0), (-10.0, 100.0))) == [(3, "goal_rejected", "missing_back_wall_contact", 3, 4, 10, 0.7)]
+    assert run(path([20, 15, 11, 9, 8, 7, 6, 6, 6, 5])) == [(6, "goal_confirmed", None, 3, 6, 10, 0.92)]  # six samples count at most
+    assert run(path([20, 15, 11, 9, 7, 5], y=150)) == []  # beside the line
+    assert run(path([20, 15, 11, 9, 7, 5]), ((4.0, 900.0), (4.0, 1000.0)))[0][1] == "goal_rejected"  # the wall's segment is elsewhere
+    assert run(path([20, 15, 10, 7, 6, 5]))[0][3] == 3  # a sample on the line is outside
+    two = path([20, 15, 11, 9, 7, 5]) + path([20, 15, 11, 9, 7, 5], 11, 40) + path([20, 11, 9, 8, 20, 11, 9, 7, 5], None, 90)
+    assert [(r[0], r[5]) for r in run(two)] == [(5, 10), (45, 11), (98, -1)]
+    for block in (2, 7):
+        assert run(two, block=block) == run(two)
+    with pytest.raises(ValueError):
+        run(path([1]), ((1.0, 1.0), (1.0, 1.0)))
 
 
 def test_previous_ball_crosses_buckets(spark):

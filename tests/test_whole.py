@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from pitchgrid.operators import dataset, quality
 from pitchgrid.plans.dataset_queries import review_gap, run_summary
+from pitchgrid.session import checkpointed
 from tests.test_match import det, goal_rows
 
 
 @pytest.mark.parametrize(("source", "confirmed"), [(None, 1), ("goal_geometry", 0)])
 def test_confirmed_goals_reach_the_run_summary(spark, source, confirmed):
-    s = run_summary(det(spark, *goal_rows(source))).localCheckpoint()
+    s = checkpointed(run_summary(det(spark, *goal_rows(source))))
     row = s.first()
     assert (row.goal_candidates, row.goals_confirmed) == (1, confirmed)
     assert quality.claim_rows(s).where("claim = 'goal_scoring'").first().status == ("ready" if confirmed else "review")
