@@ -151,33 +151,70 @@ def frame_team_coverage(robots: DataFrame, least: float = 0.8) -> DataFrame:
     return robots.groupBy("match_id", "frame_index").agg(F.count(F.lit(1)).alias("samples"), F.round(ratio, 6).alias("coverage"), (ratio < least).alias("below"))
 
 
-def calibration_quality(points: list[tuple[float, float]], field: list[tuple[float, float]], pitch: Pitch, width: int, height: int) -> dict:
-    """Geometry of a calibration's image polygon and its issues; four to some dozen points, on the driver."""
-    n = len(points)
-    edges = [(points[(i + 1) % n][0] - x, points[(i + 1) % n][1] - y) for i, (x, y) in enumerate(points)]
-    length = [math.hypot(*e) for e in edges]
-    turn = [edges[i - 1][0] * edges[i][1] - edges[i - 1][1] * edges[i][0] for i in range(n)]
-    signed = sum(points[i][0] * points[(i + 1) % n][1] - points[(i + 1) % n][0] * points[i][1] for i in range(n)) / 2
-    area = abs(signed)
-    xs, ys = [p[0] for p in points], [p[1] for p in points]
-    fill = area / max(1e-9, (max(xs) - min(xs)) * (max(ys) - min(ys)))
-    sines = [abs(t) / max(1e-9, length[i - 1] * length[i]) for i, t in enumerate(turn)]
-    m = pitch.matrix
-    errors = []
+def _turns(points: list[tuple[float, float]]) -> tuple[list[float], list[float]]:
+    """Length of each edge and cross product at each corner."""
+    edges = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(points, points[1:] + points[:1])]
+    return [math.hypot(*e) for e in edges], [p[0] * q[1] - p[1] * q[0] for p, q in zip(edges[-1:] + edges[:-1], edges)]
+
+
+def _signed_area(points: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1])) / 2
+
+
+def _edges_cross(points: list[tuple[float, float]]) -> bool:
+    """Whether two edges without a common corner meet."""
+
+    def side(a, b, p) -> float:  # noqa: ANN001
+        return (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+
+    n, edges = len(points), list(zip(points, points[1:] + points[:1]))
+    apart = [(e, f) for i, e in enumerate(edges) for j, f in enumerate(edges) if j > i + 1 and not (i == 0 and j == n - 1)]
+    return any(side(*e, f[0]) * side(*e, f[1]) <= 0 and side(*f, e[0]) * side(*f, e[1]) <= 0 for e, f in apart)
+
+
+def calibration_quality(points: list[tuple[float, float]], field: list[tuple[float, float]], pitch: Pitch, width: int | None = None, height: int | None = None) -> dict:
+    """Geometry of a calibration's image polygon (its first four points) and its issues; a dozen points, on the driver."""
+    polygon, ground = points[:4], field[:4]
+    length, turn = _turns(polygon)
+    signed, ground_signed = _signed_area(polygon), _signed_area(ground)
+    area, shortest = abs(signed), min(length)
+    ratio = max(length) / shortest if shortest > 1e-9 else None
+    sines = [abs(t) / (a * b) if a * b > 1e-12 else 0.0 for t, a, b in zip(turn, length[-1:] + length[:-1], length)]
+    xs, ys = zip(*polygon)
+    box = (max(xs) - min(xs)) * (max(ys) - min(ys))
+    fill = area / box if box > 0 else 0.0
+    convex = all(t > 1e-9 for t in turn) or all(t < -1e-9 for t in turn)
+    way = lambda a: 0 if abs(a) <= 1e-9 else 1 if a > 0 else -1
+    m, errors, lost = pitch.matrix, [], False
     for (x, y), (u, v) in zip(points, field):
         w = m[6] * x + m[7] * y + m[8]
+        if not math.isfinite(w) or abs(w) < 1e-9:
+            lost = True
+            break
         errors.append(math.hypot((m[0] * x + m[1] * y + m[2]) / w - u, (m[3] * x + m[4] * y + m[5]) / w - v))
-    coverage, ratio = area / (width * height), max(length) / max(1e-9, min(length))
-    convex = all(t > 0 for t in turn) or all(t < 0 for t in turn)
-    rules = [
-        (not convex, "error", "non_convex_polygon"), (coverage < 0.01, "error", "insufficient_frame_coverage"), (0.01 <= coverage < 0.05, "warning", "low_frame_coverage"),
-        (ratio > 12, "error", "extreme_edge_ratio"), (6 < ratio <= 12, "warning", "high_edge_ratio"), (min(sines) < 0.02, "error", "near_collinear_corner"),
-        (0.02 <= min(sines) < 0.08, "warning", "shallow_corner_angle"), (fill < 0.05, "error", "extreme_polygon_skew"), (0.05 <= fill < 0.15, "warning", "high_polygon_skew"),
-        (max(errors) > 0.05, "warning", "high_reprojection_error"), (any(not (0 <= x <= width and 0 <= y <= height) for x, y in points), "error", "points_outside_frame"),
+    worst = max(errors, default=0.0)
+    coverage = area / (width * height) if width and height else None
+    outside = sum(not (0 <= x <= width and 0 <= y <= height) for x, y in points) if width and height else 0
+
+    def step(value: float | None, code: tuple[str, str], limits: tuple[float, float], low: bool) -> list[tuple[str, str]]:
+        """The code of the error limit, else that of the warning."""
+        if value is None:
+            return []
+        for severity, name, limit in zip(("error", "warning"), code, limits):
+            if value < limit if low else value > limit:
+                return [(severity, name)]
+        return []
+
+    error = lambda hit, code: [("error", code)] if hit else []
+    issues = [
+        *error(lost, "invalid_homography"), *error(area <= 1.0, "degenerate_polygon"), *error(shortest <= 1e-9, "zero_length_edge"), *error(not convex or _edges_cross(polygon), "invalid_corner_order"),
+        *error(way(signed) == 0 or way(ground_signed) == 0 or way(signed) != way(ground_signed), "orientation_mismatch"),
+        *step(coverage, ("insufficient_frame_coverage", "low_frame_coverage"), (0.01, 0.05), True), *step(ratio, ("extreme_edge_ratio", "high_edge_ratio"), (12.0, 6.0), False),
+        *step(min(sines), ("near_collinear_corner", "shallow_corner_angle"), (0.02, 0.08), True), *step(fill, ("extreme_polygon_skew", "high_polygon_skew"), (0.05, 0.15), True),
+        *([("warning", "high_reprojection_error")] if worst > 0.05 else []), *error(outside, "points_outside_frame"),
     ]
-    issues = [(severity, code) for hit, severity, code in rules if hit]
     status = "fail" if any(s == "error" for s, _ in issues) else "review" if issues else "good"
-    return {"area_px": area, "convex": convex, "edge_ratio": ratio, "min_corner_sine": min(sines), "bbox_fill": fill, "coverage": coverage, "max_error_m": max(errors), "issues": issues, "status": status}
+    return {"area_px": area, "convex": convex, "edge_ratio": ratio, "min_corner_sine": min(sines), "bbox_fill": fill, "coverage": coverage, "max_error_m": worst, "issues": issues, "status": status}
 
 
 def two_means(vectors: DataFrame, key: str, vector: str, rounds: int = 50) -> DataFrame:

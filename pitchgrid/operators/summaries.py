@@ -77,3 +77,11 @@ def scoreboard(events: DataFrame) -> DataFrame:
 def timeline(events: DataFrame, first: int = 25) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("frame_index", "event_id")
     return events.withColumn("place", F.row_number().over(w)).where(F.col("place") <= first)
+
+
+def event_breakdown(events: DataFrame) -> DataFrame:
+    """(match_id, measure, name, events): goals by side, rejects by reason, shots by team and by target side; what is not told is `unknown`."""
+    told = lambda k: F.coalesce(F.nullif(F.regexp_extract("metadata", f'"{k}"\\s*:\\s*"([^"]*)"', 1), F.lit("")), F.lit("unknown"))
+    row = lambda kind, measure, key: F.when(F.col("event_type") == kind, F.struct(F.lit(measure).alias("measure"), told(key).alias("name")))
+    parts = F.array_compact(F.array(row("goal_candidate", "goals_by_side", "goal_side"), row("goal_rejected", "rejects_by_reason", "rejection_reason"), row("shot", "shots_by_team", "shooting_team"), row("shot", "shots_by_side", "target_side")))
+    return events.select("match_id", F.explode(parts).alias("p")).groupBy("match_id", "p.measure", "p.name").agg(F.count(F.lit(1)).alias("events"))

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchgrid.functions.geometry import Box, containment, distance, iou
 from pitchgrid.operators.blocks import block_rows, blocked_row_number, runs_of
-from pitchgrid.sources.detections import BALLS, is_in
+from pitchgrid.sources.detections import BALLS, ROBOTS, is_in
 
 
 def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,11 +265,37 @@ def calibrated_crossings(
 
 
 def held_tracks(df: DataFrame, hold: int = 12) -> DataFrame:
-    """Rows repeated on the frames after a track is lost, up to `hold` or its return."""
-    seen = df.where("track_id is not null").groupBy("match_id", "class_name", "track_id", "frame_index").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "det_seq"), F.struct("score", -F.col("det_seq"))).alias("b"))
+    """Rows repeated on the frames after a track is lost, up to `hold` or its return; not where a row of the frame stands for them:
+    one of their family (robots, balls, the same class) that overlaps by 0.15, contains or lies in them by 0.55 or is within 80 px,
+    and for a robot within 140 px of a ball also a robot within 190 px of that ball."""
+    seen = df.where("track_id is not null").groupBy("match_id", "class_name", "track_id", "frame_index").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "cx", "cy", "det_seq"), F.struct("score", -F.col("det_seq"))).alias("b"))
     nxt = F.lead("frame_index").over(Window.partitionBy("match_id", "class_name", "track_id").orderBy("frame_index"))
     last = df.groupBy("match_id").agg(F.max("frame_index").alias("__last"))
     rows = seen.withColumn("__next", nxt).join(last, "match_id")
     stop = F.least(F.col("frame_index") + hold, F.coalesce(F.col("__next") - 1, F.col("__last")))
     rows = rows.where(stop > F.col("frame_index")).withColumn("held_frame", F.explode(F.sequence(F.col("frame_index") + 1, stop)))
-    return rows.select("match_id", "class_name", "track_id", "held_frame", F.col("frame_index").alias("seen_frame"), F.col("b.det_seq").alias("det_seq"))
+    rows = rows.select("match_id", "class_name", "track_id", "held_frame", F.col("frame_index").alias("seen_frame"), "b.*")
+
+    def family(c: str) -> Column:
+        return F.when(is_in(ROBOTS, c), "robot").when(is_in(BALLS, c), "ball").otherwise(F.col(c))
+
+    h, k = Box.of(), Box.of("k_")
+    now = df.select(F.col("match_id").alias("k_match"), F.col("frame_index").alias("k_frame"), family("class_name").alias("k_family"), *[F.col(c).alias(f"k_{c}") for c in ("x1", "y1", "x2", "y2", "cx", "cy")])
+    apart = lambda a, b: distance(F.col(f"{a}cx"), F.col(f"{a}cy"), F.col(f"{b}cx"), F.col(f"{b}cy"))
+    here = (F.col("match_id") == F.col("k_match")) & (F.col("held_frame") == F.col("k_frame"))
+    same = here & (family("class_name") == F.col("k_family")) & ((iou(h, k) >= 0.15) | (containment(h, k) >= 0.55) | (apart("", "k_") <= 80))
+    rows = rows.join(now, same, "left_anti")
+    # Balls with a robot near them, once a frame; a held robot near such a ball goes.
+    balls = now.where("k_family = 'ball'")
+    robots = df.where(is_in(ROBOTS)).select(F.col("match_id").alias("k_match"), F.col("frame_index").alias("k_frame"), F.col("cx").alias("r_cx"), F.col("cy").alias("r_cy"))
+    taken = balls.join(robots, ["k_match", "k_frame"]).where(apart("k_", "r_") <= 190).select("k_match", "k_frame", "k_cx", "k_cy").distinct()
+    rows = rows.join(taken, here & is_in(ROBOTS) & (apart("", "k_") <= 140), "left_anti")
+    return rows.select("match_id", "class_name", "track_id", "held_frame", "seen_frame", "det_seq")
+
+
+def tracked(df: DataFrame, backend: str = "iou", **options: float) -> DataFrame:
+    """track_id by one of the trackers: `iou` or `byte`."""
+    trackers = {"iou": track, "byte": byte_track}
+    if backend not in trackers:
+        raise ValueError(f"unknown tracker {backend}; known: {', '.join(trackers)}")
+    return trackers[backend](df, **options)

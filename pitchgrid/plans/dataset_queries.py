@@ -161,15 +161,6 @@ def review_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("task", "group", "turn", "group_digest", "image_id", "frame_index", "has_ball")
 
 
-@q("DST08_review_audit", """SELECT split_state, task, count(*) AS images, sum(CASE WHEN ready THEN 1 ELSE 0 END)::BIGINT AS ready FROM (
-  SELECT coalesce(lower(trim(split)), 'none') AS split_state, CASE WHEN has_ball THEN 'positive' WHEN has_ball = false THEN 'negative' ELSE 'open' END AS task, has_ball IS NOT NULL AND frame_index IS NOT NULL AS ready FROM manifest_images) GROUP BY 1, 2""")
-def review_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images by split and review task, and how many are ready."""
-    i = table(spark, sf_dir, "manifest_images")
-    ready = F.col("has_ball").isNotNull() & F.col("frame_index").isNotNull()
-    return i.groupBy(F.coalesce(F.lower(F.trim("split")), F.lit("none")).alias("split_state"), F.when(F.col("has_ball"), "positive").when(~F.col("has_ball"), "negative").otherwise("open").alias("task")).agg(F.count(F.lit(1)).alias("images"), F.sum(ready.cast("long")).alias("ready"))
-
-
 @m("DST09_coco_annotations", f"""WITH {MAN}, c AS (SELECT class_name, row_number() OVER (ORDER BY class_name) AS category_id FROM (SELECT DISTINCT class_name FROM md)),
 b AS (SELECT *, greatest(0.0::DOUBLE, x1) AS bx, greatest(0.0::DOUBLE, y1) AS by_, least(x2, width::DOUBLE) - greatest(0.0::DOUBLE, x1) AS bw, least(y2, height::DOUBLE) - greatest(0.0::DOUBLE, y1) AS bh FROM md JOIN img USING (image_id))
 SELECT image_id, det_index, category_id, bx, by_, bw, bh, bw * bh AS area FROM b JOIN c USING (class_name) WHERE bw > 0 AND bh > 0""")
@@ -203,15 +194,6 @@ def phrase_pairs(images: DataFrame, dets: DataFrame) -> DataFrame:
     return D.phrase_pairs(images, dets)
 
 
-@m("DST12_preflight", f"""WITH {MAN}, b AS (SELECT *, {_BOX} AS problem FROM md LEFT JOIN img USING (image_id))
-SELECT code, count(*) AS rows FROM (SELECT unnest([CASE WHEN width IS NULL THEN 'missing_image' END, CASE WHEN problem IS NOT NULL THEN 'bad_box' END, CASE WHEN score < 0.6::DOUBLE THEN 'low_score' END]) AS code FROM b) WHERE code IS NOT NULL GROUP BY 1""")
-def preflight(images: DataFrame, dets: DataFrame) -> DataFrame:
-    """Counts of each rule an annotation breaks before training."""
-    rows = dets.join(images, "image_id", "left")
-    rules = F.array_compact(F.array(F.when(F.col("width").isNull(), "missing_image"), F.when(D.box_problem().isNotNull(), "bad_box"), F.when(F.col("score") < 0.6, "low_score")))
-    return rows.select(F.explode(rules).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @q("SET04_split_overlap", f"SELECT DISTINCT {_PATH.format('image_path')} AS path FROM manifest_images WHERE lower(trim(split)) = 'train' AND image_path IS NOT NULL INTERSECT SELECT DISTINCT {_PATH.format('image_path')} FROM manifest_images WHERE lower(trim(split)) = 'val' AND image_path IS NOT NULL")
 def split_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "manifest_images").where("image_path is not null")

@@ -715,10 +715,18 @@ def steady(d: DataFrame) -> DataFrame:
     return tracking.steady_goals(d, GOALS)
 
 
+_FAMILY = f"CASE WHEN {{0}} IN {_R} THEN 'robot' WHEN {{0}} IN {_B} THEN 'ball' ELSE {{0}} END"
+
+
 @q("STM09_held_tracks", f"""{W}, s AS (SELECT * FROM det WHERE track_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id, class_name, track_id, frame_index ORDER BY score DESC, det_seq) = 1),
 n AS (SELECT match_id, class_name, track_id, det_seq, frame_index, lead(frame_index) OVER (PARTITION BY match_id, class_name, track_id ORDER BY frame_index) AS nx FROM s),
-e AS (SELECT n.*, least(frame_index + 12, coalesce(nx - 1, l)) AS stop FROM n JOIN (SELECT match_id, max(frame_index) AS l FROM det GROUP BY 1) USING (match_id))
-SELECT match_id, class_name, track_id, unnest(range(frame_index + 1, stop + 1)) AS held_frame, frame_index AS seen_frame, det_seq FROM e WHERE stop > frame_index""")
+e AS (SELECT n.*, least(frame_index + 12, coalesce(nx - 1, l)) AS stop FROM n JOIN (SELECT match_id, max(frame_index) AS l FROM det GROUP BY 1) USING (match_id)),
+hh AS (SELECT match_id, class_name, track_id, unnest(range(frame_index + 1, stop + 1)) AS held_frame, frame_index AS seen_frame, det_seq FROM e WHERE stop > frame_index),
+h AS (SELECT hh.*, d.x1, d.y1, d.x2, d.y2, d.cx, d.cy FROM hh JOIN det d USING (det_seq))
+SELECT match_id, class_name, track_id, held_frame, seen_frame, det_seq FROM h WHERE NOT EXISTS (SELECT 1 FROM det k WHERE k.match_id = h.match_id AND k.frame_index = h.held_frame AND {_FAMILY.format('k.class_name')} = {_FAMILY.format('h.class_name')}
+    AND ({iou('h.', 'k.')} >= 0.15::DOUBLE OR {inter('h.', 'k.')} / nullif(least({area('h.')}, {area('k.')}), 0) >= 0.55::DOUBLE OR {dist('h.', 'k.')} <= 80))
+  AND NOT (h.class_name IN {_R} AND EXISTS (SELECT 1 FROM det k JOIN det r ON r.match_id = k.match_id AND r.frame_index = k.frame_index AND r.class_name IN {_R} AND {dist('r.', 'k.')} <= 190
+    WHERE k.match_id = h.match_id AND k.frame_index = h.held_frame AND k.class_name IN {_B} AND {dist('h.', 'k.')} <= 140))""")
 def held(d: DataFrame) -> DataFrame:
     return tracking.held_tracks(d)
 
@@ -841,3 +849,12 @@ QUERIES["WIN14_ball_extrapolation"] = ball_peaks
 ORACLES["WIN14_ball_extrapolation"] = f"""{W}, {BEST}, l AS (SELECT *, lag(cx, 5) OVER w AS px, lag(cy, 5) OVER w AS py, lag(frame_index, 5) OVER w AS pf FROM bb WINDOW w AS (PARTITION BY match_id ORDER BY frame_index)),
 k AS (SELECT *, unnest([0.5::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE]) AS t FROM l WHERE pf IS NOT NULL)
 SELECT match_id, frame_index, t, round(cx + t * 30 / (frame_index - pf) * (cx - px) + 1e-7::DOUBLE, 4) AS x, round(cy + t * 30 / (frame_index - pf) * (cy - py) + 1e-7::DOUBLE, 4) AS y, round(exp(-0.45::DOUBLE * t), 6) AS confidence FROM k"""
+
+
+@q("TOP11_canonical_order", f"""{W} SELECT det_seq, row_number() OVER (PARTITION BY match_id ORDER BY frame_index, class_name, CASE WHEN track_id IS NULL OR track_id = 0 THEN -1 ELSE track_id END, score DESC, det_seq) AS place FROM det""")
+def canonical_order(d: DataFrame) -> DataFrame:
+    """Every row's place in the order results are presented in; counted by stretches of frames, so that no match is one task."""
+    from pitchgrid.operators.blocks import blocked_row_number
+
+    rows = d.withColumn("__stretch", F.floor(F.col("frame_index") / 4096))
+    return blocked_row_number(rows, ["match_id"], [F.col("frame_index"), F.col("class_name"), E.known_track("track_id"), F.desc("score"), F.col("det_seq")], "__stretch", "place").select("det_seq", "place")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchgrid.plans import core_queries, dataset_queries, extra_queries, fold_sql, match_queries, quality_sql
+from pitchgrid.plans import core_queries, dataset_queries, extra_queries, fold_sql, match_queries, quality_sql, source_queries
 
-MODULES = [core_queries, match_queries, dataset_queries, extra_queries, fold_sql, quality_sql]
+MODULES = [core_queries, match_queries, dataset_queries, extra_queries, fold_sql, quality_sql, source_queries]
 FLAGSHIP = match_queries.QUERIES["AGG05_possession_by_team"]
 
 
