@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import distance
+from pitchgrid.operators.blocks import lagged, last_known
 from pitchgrid.operators.filters import FRAME, balls_in_play, best_per
 from pitchgrid.operators.possession import possession
 from pitchgrid.sources.detections import BALLS, GOALS, is_in
@@ -54,14 +55,13 @@ def goal_hits(df: DataFrame) -> DataFrame:
 
 def shots(df: DataFrame, width: int, margin_ratio: float = 0.08, speed: float = 8.0) -> DataFrame:
     """The best in-play ball moves outward into the left or right margin, faster than `speed`, since the last frame with one."""
-    w = Window.partitionBy("match_id").orderBy("frame_index")
-    rows = best_in_play(df).withColumns({"px": F.lag("cx").over(w), "py": F.lag("cy").over(w)}).where("px is not null")
+    rows = lagged(best_in_play(df), ["match_id"], "frame_index", {"px": "cx", "py": "cy"}).where("px is not null")
     margin, dx = width * margin_ratio, F.col("cx") - F.col("px")
     side = F.when((F.col("cx") <= margin) & (dx < 0), "left").when((F.col("cx") >= width - margin) & (dx > 0), "right")
     rows = rows.withColumns({"target_side": side, "speed": distance(F.col("cx"), F.col("cy"), F.col("px"), F.col("py"))}).where(F.col("target_side").isNotNull() & (F.col("speed") > speed))
     owner = possession(df)
-    last = Window.partitionBy("match_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.last(F.when(F.col("owner_seq").isNotNull(), F.struct("owner_track")), ignorenulls=True).over(last)
+    owner = last_known(owner, ["match_id"], "frame_index", F.when(F.col("owner_seq").isNotNull(), F.struct("owner_track")), "__known")
+    known = F.col("__known")
     owners = owner.select(*FRAME, F.when(known.isNull(), F.lit(-1).cast("long")).otherwise(known["owner_track"]).alias("actor"))
     team = F.when(F.col("target_side") == "left", "blue").otherwise("yellow")
     return rows.join(owners, FRAME).select(*FRAME, "target_side", team.alias("shooting_team"), F.round("speed", 6).alias("speed_px_frame"), "actor")

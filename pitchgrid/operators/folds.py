@@ -1,12 +1,9 @@
-"""Greedy folds over ordered groups, as JVM array aggregates where the groups are small.
-
-A group is a frame and class, or the events of one key, whose size is that of a frame or of an
-entity's events, not of the corpus.
-"""
+"""Greedy folds over ordered groups: within a frame as JVM array aggregates, along an entity as sorted streams that hold one state."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -86,36 +83,73 @@ def suppress_robots(
     return kept.unionByName(others) if others is not None else kept
 
 
-def cooled(events: DataFrame, keys: Sequence[str], cooldown: Column, order: Sequence[str], strength: str) -> DataFrame:
-    """Events per key with a cooldown: within it of the kept event, a stronger one takes its place, others go."""
-    cols = [c for c in events.columns if c not in keys]
-    packed = events.withColumn("__cool", cooldown).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *[F.col(c) for c in cols if c not in order], "__cool"))).alias("__all"))
+def walked(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable[[Any, tuple], tuple[Any, bool]]) -> DataFrame:
+    """The rows a walk over each group keeps: step(state, values of the order columns) gives the next state (None at first) and whether the row stays.
 
-    def step(kept: Column, row: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        new = (F.size(kept) == 0) | (row["frame_index"] - last["frame_index"] >= row["__cool"])
-        put = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(row))
-        return F.when(new, F.concat(kept, F.array(row))).when(row[strength] > last[strength], put).otherwise(kept)
+    Sorted groups stream through Arrow and only the state is held, however many rows a group has."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state = None, None
+        for batch in batches:
+            places = []
+            columns = [zip(*[batch.column(k).to_pylist() for k in part], strict=True) for part in (keys, order)]
+            for i, (key, values) in enumerate(zip(*columns, strict=True)):
+                if key != group:
+                    group, state = key, None
+                state, keep = step(state, values)
+                if keep:
+                    places.append(i)
+            yield batch.take(pa.array(places, pa.int64()))
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, df.schema)
 
-    kept = F.aggregate("__all", F.slice("__all", 1, 0), step)
-    return packed.select(*keys, F.explode(kept).alias("__k")).select(*keys, *[F.col(f"__k.{c}").alias(c) for c in cols])
 
+def cooled(events: DataFrame, keys: Sequence[str], cooldown: Column, order: Sequence[str], strength: str) -> DataFrame:
+    """Events per key with a cooldown: within it of the kept event, a stronger one takes its place, others go.
+
+    order begins with the event's time. A walk marks the event that takes another's place or begins anew, and a walk back drops
+    what was replaced, so nothing but one event is held."""
+    rows = events.withColumn("__cool", cooldown)
+    at, n = order[0], int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [*keys, at, strength, "__cool"]
 
-def spaced(df: DataFrame, keys: Sequence[str], at: str, gap: int | Column, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, last = None, None  # last: (key, time, strength, row of a batch)
+        for batch in batches:
+            done: list[pa.RecordBatch] = []
+            columns = [batch.column(c).to_pylist() for c in names]
+            held, places = last[3] if last else None, []
+            pick: int | None = None
+            for i, values in enumerate(zip(*columns, strict=True)):
+                key, (time, power, cool) = values[: len(keys)], values[len(keys) :]
+                if key != group or time - last[1] >= cool:
+                    if last is not None:
+                        (places.append(pick) if pick is not None else done.append(held))
+                    group, last, pick = key, (key, time, power, None), i
+                elif power > last[2]:
+                    last, pick = (key, time, power, None), i
+            if done:
+                yield from done
+            yield batch.take(pa.array(places, pa.int64()))
+            if last is not None:
+                last = (*last[:3], batch.slice(pick, 1) if pick is not None else held)
+        if last is not None:
+            yield last[3]
+
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, rows.schema).drop("__cool")
+
+
+def spaced(df: DataFrame, keys: Sequence[str], at: str, gap: int, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Rows at least `gap` after the last one taken, per key, `limit` at most."""
-    cols = [c for c in df.columns if c not in keys]
-    front = [at, *order]
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*front, *[c for c in cols if c not in front]))).alias("__all"))
 
-    def step(kept: Column, row: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        fits = (F.size(kept) == 0) | (row[at] - last[at] >= gap)
-        if limit is not None:
-            fits = fits & (F.size(kept) < limit)
-        return F.when(fits, F.concat(kept, F.array(row))).otherwise(kept)
+    def step(state, values):  # noqa: ANN001, ANN202
+        last, count = state or (None, 0)
+        if (last is None or values[0] - last >= gap) and (limit is None or count < limit):
+            return (values[0], count + 1), True
+        return state, False
 
-    kept = F.aggregate("__all", F.slice("__all", 1, 0), step)
-    return packed.select(*keys, F.explode(kept).alias("__k")).select(*keys, *[F.col(f"__k.{c}").alias(c) for c in cols])
+    return walked(df, keys, [at, *order], step)
 
 
 def apart(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, gap: int) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitchgrid.functions.geometry import Box, boxes_overlap, distance, point_in_polygon
+from pitchgrid.functions.geometry import Box, boxes_overlap, point_in_polygon
+from pitchgrid.operators.blocks import frame_runs, lagged, last_known
 from pitchgrid.operators.filters import FRAME, balls_in_play, boxes
+from pitchgrid.operators.folds import walked
 from pitchgrid.sources.detections import BALLS, FIELD, HUMANS, ROBOTS, is_in
 
 
@@ -36,23 +40,21 @@ def robots_removed(df: DataFrame, after: int = 18) -> DataFrame:
 
 
 def robots_disabled(df: DataFrame, after: int = 45, threshold: float = 2.0) -> DataFrame:
-    """Frames on which a seen robot has not left its anchor for exactly `after` frames; the anchor moves with it when it does."""
-    rows = df.where(is_in(ROBOTS) & F.col("track_id").isNotNull()).groupBy("match_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame_index", "det_seq", "cx", "cy"))).alias("__all"))
+    """Frames on which a seen robot has not left its anchor for exactly `after` frames; the anchor moves with it when it does.
+
+    The anchor lasts through absences, so a track is walked as one; sorted tracks stream and only the anchor is held."""
 
-    def step(acc: Column, r: Column) -> Column:
-        still = (acc["at"].isNotNull()) & (distance(acc["x"], acc["y"], r["cx"], r["cy"]) <= threshold)
-        hit = still & (r["frame_index"] - acc["at"] == after)
-        return F.struct(
-            F.when(still, acc["at"]).otherwise(r["frame_index"]).alias("at"), F.when(still, acc["x"]).otherwise(r["cx"]).alias("x"), F.when(still, acc["y"]).otherwise(r["cy"]).alias("y"),
-            F.when(hit, F.concat(acc["out"], F.array(r["frame_index"]))).otherwise(acc["out"]).alias("out"),
-        )
+    def step(anchor, r):  # noqa: ANN001, ANN202
+        frame, _, x, y = r
+        if anchor is None or math.sqrt((anchor[1] - x) ** 2 + (anchor[2] - y) ** 2) > threshold:
+            return (frame, x, y), False
+        return anchor, frame - anchor[0] == after
 
-    start = F.expr("struct(cast(null as bigint) as at, cast(null as double) as x, cast(null as double) as y, cast(array() as array<bigint>) as out)")
-    out = F.aggregate("__all", start, step, lambda acc: acc["out"])
-    return rows.select("match_id", "track_id", F.explode(F.array_distinct(out)).alias("frame_index"))
+    rows = df.where(is_in(ROBOTS) & F.col("track_id").isNotNull()).select("match_id", "track_id", "frame_index", "det_seq", "cx", "cy")
+    return walked(rows, ["match_id", "track_id"], ["frame_index", "det_seq", "cx", "cy"], step).select("match_id", "track_id", "frame_index").distinct()
 
 
-def frame_states(df: DataFrame, missing: int = 12, removed: int = 18, disabled: int = 45, polygon: list[tuple[float, float]] | None = None) -> DataFrame:
+def frame_states(df: DataFrame, missing: int = 12, removed: int = 18, disabled: int = 45, still_px: float = 2.0, polygon: list[tuple[float, float]] | None = None) -> DataFrame:
     """State, confidence and reasons of every frame between a match's first and last."""
     has = F.lit(True)
     balls = df.where(is_in(BALLS)).select(*FRAME).distinct().withColumn("__ball", has)
@@ -60,11 +62,11 @@ def frame_states(df: DataFrame, missing: int = 12, removed: int = 18, disabled:
     if polygon:
         play = play.union(df.where(is_in(BALLS) & point_in_polygon(F.col("cx"), F.col("cy"), polygon)).select(*FRAME))
     gone = robots_removed(df, removed).groupBy(*FRAME).agg(F.array_sort(F.collect_set("track_id")).alias("robot_removed"))
-    still = robots_disabled(df, disabled).groupBy(*FRAME).agg(F.array_sort(F.collect_set("track_id")).alias("robot_disabled"))
+    still = robots_disabled(df, disabled, still_px).groupBy(*FRAME).agg(F.array_sort(F.collect_set("track_id")).alias("robot_disabled"))
     rows = dense_frames(df).join(balls, FRAME, "left").join(play.distinct().withColumn("__play", has), FRAME, "left")
     rows = rows.join(human_frames(df).withColumn("__human", has), FRAME, "left").join(gone, FRAME, "left").join(still, FRAME, "left")
-    w = Window.partitionBy("match_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    last_ball = F.last(F.when(F.col("__ball"), F.col("frame_index")), ignorenulls=True).over(w)
+    rows = last_known(rows, ["match_id"], "frame_index", F.when(F.col("__ball"), F.col("frame_index")), "__last_ball")
+    last_ball = F.col("__last_ball")
     none = F.expr("cast(array() as array<bigint>)")
     rows = rows.withColumns({
         "__missing": F.coalesce(F.col("__ball").isNull() & (F.col("frame_index") - last_ball >= missing), F.lit(False)), "__out": F.col("__ball").isNotNull() & F.col("__play").isNull(),
@@ -86,20 +88,17 @@ def frame_states(df: DataFrame, missing: int = 12, removed: int = 18, disabled:
 
 def segments(states: DataFrame, least: int = 1) -> DataFrame:
     """Islands of one state on successive frames, with mean confidence and the union of reasons."""
-    w = Window.partitionBy("match_id").orderBy("frame_index")
-    new = (F.lag("state").over(w) != F.col("state")) | (F.lag("frame_index").over(w) != F.col("frame_index") - 1)
-    rows = states.withColumn("__new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("__i", F.sum("__new").over(w))
-    out = rows.groupBy("match_id", "__i", "state").agg(
-        F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.count(F.lit(1)).alias("frames"), F.round(F.avg("confidence"), 6).alias("confidence"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))), ";").alias("reasons"),
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))  # noqa: E731  a handful of reasons
+    runs = frame_runs(
+        states, ["match_id", "state"], "frame_index", {"frames": F.count(F.lit(1)), "total": F.sum("confidence"), "reasons": union("reasons")},
+        {"frames": F.sum("frames"), "confidence": F.round(F.sum("total") / F.sum("frames"), 6), "reasons": F.array_join(union("reasons"), ";")},
     )
-    return out.where(F.col("frames") >= least).drop("__i")
+    return runs.where(F.col("frames") >= least).withColumnsRenamed({"start": "start_frame", "end": "end_frame"})
 
 
 def entry_events(states: DataFrame) -> DataFrame:
     """An event where a state other than in_play begins, and one for each robot gone or disabled."""
-    w = Window.partitionBy("match_id").orderBy("frame_index")
-    entered = states.withColumn("__was", F.lag("state").over(w)).where((F.col("state") != "in_play") & ~F.col("state").eqNullSafe(F.col("__was")))
+    entered = lagged(states, ["match_id"], "frame_index", {"__was": "state"}).where((F.col("state") != "in_play") & ~F.col("state").eqNullSafe(F.col("__was")))
     entered = entered.select(*FRAME, F.col("state").alias("event_type"), F.lit(-1).cast("long").alias("actor"))
     each = lambda c: states.select(*FRAME, F.lit(c).alias("event_type"), F.explode(c).alias("actor"))
     return entered.union(each("robot_removed")).union(each("robot_disabled"))

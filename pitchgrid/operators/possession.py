@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import distance
+from pitchgrid.operators.blocks import frame_runs, lagged
 from pitchgrid.operators.filters import FRAME, best_per, boxes, largest_field
 from pitchgrid.sources.detections import BALLS, ROBOTS, is_in
 
@@ -35,8 +36,7 @@ def possession(df: DataFrame, radius: float = 90.0) -> DataFrame:
 
 def owner_changes(owned: DataFrame) -> DataFrame:
     """pass (same team, .65) or interception (.70) where the owner differs from the last known owner; an unknown team is no common team."""
-    w = Window.partitionBy("match_id").orderBy("frame_index")
-    rows = owned.where("owner_seq is not null").withColumns({"__t": F.lag("owner_track").over(w), "__m": F.lag("owner_team").over(w), "__s": F.lag("owner_seq").over(w)})
+    rows = lagged(owned.where("owner_seq is not null"), ["match_id"], "frame_index", {"__t": "owner_track", "__m": "owner_team", "__s": "owner_seq"})
     rows = rows.where(F.col("__s").isNotNull() & ~F.col("owner_track").eqNullSafe(F.col("__t")))
     same = F.coalesce("owner_team", F.lit("unknown")) == F.coalesce("__m", F.lit("unknown"))
     falsy = lambda c: F.when(F.col(c).isNull() | (F.col(c) == 0), F.lit(-1).cast("long")).otherwise(F.col(c))
@@ -45,9 +45,8 @@ def owner_changes(owned: DataFrame) -> DataFrame:
 
 def streaks(owned: DataFrame, top: int = 20) -> DataFrame:
     """The longest runs of successive frames with one owner."""
-    w = Window.partitionBy("match_id", "owner_track").orderBy("frame_index")
-    rows = owned.where("owner_track is not null").withColumn("island", F.col("frame_index") - F.row_number().over(w))
-    runs = rows.groupBy("match_id", "owner_track", "island").agg(F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.count(F.lit(1)).alias("frames")).drop("island")
+    runs = frame_runs(owned.where("owner_track is not null"), ["match_id", "owner_track"], "frame_index", {"frames": F.count(F.lit(1))}, {"frames": F.sum("frames")})
+    runs = runs.withColumnsRenamed({"start": "start_frame", "end": "end_frame"})
     return best_per(runs, ["match_id"], [F.desc("frames"), F.col("start_frame"), F.col("owner_track")], top)
 
 

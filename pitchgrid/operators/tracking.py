@@ -1,7 +1,7 @@
 """Operators whose state runs along the frames of one match and class: trackers, ball path, goal boxes.
 
-The state is sequential by nature; matches and classes run in parallel, and only (frame, box) columns
-reach Python.
+Matches and classes are cut where nothing stands for longer than a track is remembered; pieces run in parallel, and
+only (frame, box) columns reach Python.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import Box, containment, distance, iou
-from pitchgrid.operators.blocks import block_rows, blocked_row_number, runs_of
+from pitchgrid.operators.blocks import block_rows, blocked_row_number, runs_of, with_piece
 from pitchgrid.sources.detections import BALLS, ROBOTS, is_in
 
 
@@ -68,13 +68,19 @@ def track(df: DataFrame, threshold: float = 0.25, max_age: int = 12) -> DataFram
         at, box = by_frame(pdf), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
         frames = [(f, box[a:b]) for f, a, b in at]
         pdf["local"] = np.concatenate(follow(frames, threshold, max_age)) if frames else []
-        return pdf[["match_id", "frame_index", "det_seq", "class_name", "local"]]
+        return pdf[["match_id", "frame_index", "det_seq", "class_name", "__piece", "local"]]
 
     cols = ["match_id", "frame_index", "det_seq", "class_name", "x1", "y1", "x2", "y2"]
-    local = df.select(*cols).groupBy("match_id", "class_name").applyInPandas(run, "match_id string, frame_index long, det_seq long, class_name string, local long")
-    heads = local.groupBy("match_id", "class_name", "local").agg(F.min(F.struct("frame_index", "det_seq")).alias("head"))
-    heads = heads.withColumn("track_id", F.row_number().over(Window.partitionBy("match_id").orderBy("head")).cast("long")).drop("head")
-    return local.join(heads, ["match_id", "class_name", "local"]).drop("local")
+    return _numbered(with_piece(df.select(*cols), ["match_id", "class_name"], "frame_index", max_age), run)
+
+
+def _numbered(pieces: DataFrame, run) -> DataFrame:  # noqa: ANN001
+    """Tracks of each piece of a match and class, numbered in the match by how they begin."""
+    local = pieces.groupBy("match_id", "class_name", "__piece").applyInPandas(run, "match_id string, frame_index long, det_seq long, class_name string, __piece long, local long")
+    key = ["match_id", "class_name", "__piece", "local"]
+    heads = local.groupBy(*key).agg(F.min("frame_index").alias("__f"), F.min(F.struct("frame_index", "det_seq")).alias("__head")).withColumn("__stretch", F.floor(F.col("__f") / 65_536))
+    heads = blocked_row_number(heads, ["match_id"], [F.col("__head")], "__stretch", "track_id").select(*key, "track_id")
+    return local.join(heads, key).drop("local", "__piece")
 
 
 def byte_track(df: DataFrame, high: float = 0.5, low: float = 0.1, first: float = 0.2, second: float = 0.5, buffer: int = 30) -> DataFrame:
@@ -110,13 +116,10 @@ def byte_track(df: DataFrame, high: float = 0.5, low: float = 0.1, first: float
                     tracks.append({"id": mine[k], "box": box[k], "speed": np.zeros(4), "last": f})
             ids.append(mine)
         pdf["local"] = np.concatenate(ids) if ids else []
-        return pdf[["match_id", "frame_index", "det_seq", "class_name", "local"]]
+        return pdf[["match_id", "frame_index", "det_seq", "class_name", "__piece", "local"]]
 
     cols = ["match_id", "frame_index", "det_seq", "class_name", "score", "x1", "y1", "x2", "y2"]
-    local = df.select(*cols).groupBy("match_id", "class_name").applyInPandas(run, "match_id string, frame_index long, det_seq long, class_name string, local long")
-    heads = local.groupBy("match_id", "class_name", "local").agg(F.min(F.struct("frame_index", "det_seq")).alias("head"))
-    heads = heads.withColumn("track_id", F.row_number().over(Window.partitionBy("match_id").orderBy("head")).cast("long")).drop("head")
-    return local.join(heads, ["match_id", "class_name", "local"]).drop("local")
+    return _numbered(with_piece(df.select(*cols), ["match_id", "class_name"], "frame_index", buffer), run)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:

@@ -154,7 +154,17 @@ SELECT match_id, frame_index, state AS event_type, -1::BIGINT AS actor FROM en W
 UNION ALL SELECT match_id, frame_index, 'robot_disabled', track_id FROM (STM05)""",
 }
 ORACLES["WIN05_entry_events"] = ORACLES["WIN05_entry_events"].replace("(STM05)", f"({ORACLES['STM05_robots_disabled']})")
+_SURE = "CASE state WHEN 'human_intervention' THEN 0.8::DOUBLE WHEN 'dead_ball' THEN 0.7::DOUBLE ELSE CASE WHEN play THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END END"
+#: Frame states with their reasons.
+REASONED = f"""{M.W}, {M.STATES}, rem AS (SELECT match_id, frame_index, count(DISTINCT track_id) AS removed FROM gone GROUP BY 1, 2), dis AS (SELECT match_id, frame_index, count(DISTINCT track_id) AS disabled FROM ({ORACLES['STM05_robots_disabled']}) GROUP BY 1, 2),
+why AS (SELECT fs.*, coalesce(removed, 0) AS removed, coalesce(disabled, 0) AS disabled, {_SURE} AS confidence, list_filter([CASE WHEN NOT ball AND fs.frame_index - lb >= 12 THEN 'ball_missing' END, CASE WHEN ball AND NOT play THEN 'ball_out_of_play' END,
+  CASE WHEN human THEN 'dead_ball_by_intervention' END, CASE WHEN human THEN 'human_on_or_near_field' END, CASE WHEN disabled > 0 THEN 'robot_disabled_candidate' END, CASE WHEN removed > 0 THEN 'robot_removed_candidate' END], lambda r: r IS NOT NULL) AS reasons
+  FROM fs LEFT JOIN rem USING (match_id, frame_index) LEFT JOIN dis USING (match_id, frame_index))
+"""
 ORACLES |= {
+    "STM04_frame_states": REASONED + "SELECT match_id, frame_index, state, confidence, play AS ball_in_play, human AS human_intervention, removed, disabled, array_to_string(reasons, ';') AS reasons FROM why",
+    "WIN04_segments": REASONED + """, i AS (SELECT *, frame_index - row_number() OVER (PARTITION BY match_id, state ORDER BY frame_index) AS g FROM why), n AS (SELECT match_id, state, g, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS frames, round(avg(confidence), 6) AS confidence FROM i GROUP BY 1, 2, 3),
+w AS (SELECT match_id, state, g, string_agg(DISTINCT r, ';' ORDER BY r) AS reasons FROM (SELECT match_id, state, g, unnest(reasons) AS r FROM i) GROUP BY 1, 2, 3) SELECT match_id, state, start_frame, end_frame, frames, confidence, coalesce(reasons, '') AS reasons FROM n LEFT JOIN w USING (match_id, state, g)""",
     "STR01_tumbling_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS rows FROM events GROUP BY 1, 2, 3",
     "STR02_sliding_counts": "SELECT s AS start, s + INTERVAL 2 HOUR AS end, event_type, count(*) AS rows FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS s FROM events) GROUP BY 1, 2, 3",
     "STR03_sessions": """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l)

@@ -10,6 +10,7 @@ from pitchgrid.operators import events as E
 from pitchgrid.operators import field as M
 from pitchgrid.operators import filters as L
 from pitchgrid.operators import folds, gamestate, possession, summaries, tracking
+from pitchgrid.operators.blocks import blocked_row_number, lagged
 from pitchgrid.operators.quality import frame_team_coverage, team_changes, track_teams
 from pitchgrid.session import table
 from pitchgrid.sources.detections import BALL_HANDLERS, BALLS, DET, FIELD, GOALS, HUMANS, ROBOTS, detections, is_in, sql_in
@@ -482,10 +483,7 @@ SELECT v.match_id, v.frame_index, round(0.15::DOUBLE + 0.45::DOUBLE * {_CL.forma
   + 0.4::DOUBLE * least(1.0::DOUBLE, sqrt((v.cx - px) * (v.cx - px) + (v.cy - py) * (v.cy - py)) / (v.frame_index - pf) / 35.0::DOUBLE), 6) AS pressure
 FROM v LEFT JOIN big ON v.match_id = big.match_id AND v.frame_index = big.frame_index WHERE pf IS NOT NULL""")
 def shot_pressure(d: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("match_id").orderBy("frame_index")
-    b = possession.best_ball(d).withColumns({"px": F.lag("cx").over(w), "py": F.lag("cy").over(w), "pf": F.lag("frame_index").over(w)}).where("pf is not null").join(L.largest_field(d), L.FRAME, "left")
+    b = lagged(possession.best_ball(d), ["match_id"], "frame_index", {"px": "cx", "py": "cy", "pf": "frame_index"}).where("pf is not null").join(L.largest_field(d), L.FRAME, "left")
     left, right = F.coalesce("f_x1", F.lit(0.0)), F.coalesce("f_x2", F.lit(float(WIDTH)))
     near = possession.clamp(1 - F.least(F.abs(F.col("cx") - left), F.abs(right - F.col("cx"))) / F.greatest(0.25 * (right - left), F.lit(1.0)))
     v = G.distance(F.col("cx"), F.col("cy"), F.col("px"), F.col("py")) / (F.col("frame_index") - F.col("pf"))
@@ -592,13 +590,12 @@ fs AS (SELECT *, CASE WHEN human THEN 'human_intervention' WHEN (NOT ball AND co
 
 
 def states(d: DataFrame) -> DataFrame:
-    return gamestate.frame_states(d, disabled=STILL_FRAMES)
+    return gamestate.frame_states(d, disabled=STILL_FRAMES, still_px=STILL_PX)
 
 
-@q("STM04_frame_states", f"""{W}, {STATES} SELECT match_id, frame_index, state, CASE state WHEN 'human_intervention' THEN 0.8::DOUBLE WHEN 'dead_ball' THEN 0.7::DOUBLE ELSE CASE WHEN play THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END END AS confidence, play AS ball_in_play,
-  human AS human_intervention, (SELECT count(*) FROM gone g WHERE g.match_id = fs.match_id AND g.frame_index = fs.frame_index) AS removed FROM fs""")
+@q("STM04_frame_states")
 def frame_states(d: DataFrame) -> DataFrame:
-    return states(d).select(*L.FRAME, "state", "confidence", "ball_in_play", "human_intervention", F.size("robot_removed").cast("long").alias("removed"))
+    return states(d).select(*L.FRAME, "state", "confidence", "ball_in_play", "human_intervention", F.size("robot_removed").cast("long").alias("removed"), F.size("robot_disabled").cast("long").alias("disabled"), F.array_join("reasons", ";").alias("reasons"))
 
 
 @q("STM05_robots_disabled")
@@ -606,10 +603,9 @@ def disabled(d: DataFrame) -> DataFrame:
     return gamestate.robots_disabled(d, STILL_FRAMES, STILL_PX)
 
 
-@q("WIN04_segments", f"""{W}, {STATES}, i AS (SELECT match_id, frame_index, state, frame_index - row_number() OVER (PARTITION BY match_id, state ORDER BY frame_index) AS g, CASE state WHEN 'human_intervention' THEN 0.8::DOUBLE WHEN 'dead_ball' THEN 0.7::DOUBLE ELSE CASE WHEN play THEN 0.55::DOUBLE ELSE 0.45::DOUBLE END END AS c FROM fs)
-SELECT match_id, state, min(frame_index) AS start_frame, max(frame_index) AS end_frame, count(*) AS frames, round(avg(c), 6) AS confidence FROM i GROUP BY match_id, state, g""")
+@q("WIN04_segments")
 def segments(d: DataFrame) -> DataFrame:
-    return gamestate.segments(states(d)).drop("reasons")
+    return gamestate.segments(states(d))
 
 
 @q("WIN05_entry_events")
@@ -789,14 +785,14 @@ ORACLES["TOP07_timeline"] = "SELECT match_id, event_id, (row_number() OVER (PART
 
 
 def overlay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join: at every frame with a state, the last event of the 45 frames up to it, by a RANGE window over both tables' union."""
-    from pyspark.sql import Window
-
+    """As-of join: at every frame with a state, the last event of the 45 frames up to it. Frames are cut into stretches of 45, an event
+    stands in its own and the next, so frames and events meet by equality."""
     e = event_table(spark, sf_dir).groupBy("match_id", "frame_index").agg(F.max("event_id").alias("event_id"))
+    own = F.floor(F.col("frame_index") / 45)
+    e = e.select("match_id", F.explode(F.array(own, own + 1)).alias("stretch"), F.struct(F.col("frame_index").alias("at"), "event_id").alias("e"))
     f = table(spark, sf_dir, "frame_states").select("match_id", "frame_index").where("match_id is not null and frame_index is not null").distinct()
-    rows = f.withColumn("asked", F.lit(True)).join(e, ["match_id", "frame_index"], "full_outer")
-    w = Window.partitionBy("match_id").orderBy("frame_index").rangeBetween(-44, 0)
-    return rows.withColumn("event_id", F.last("event_id", ignorenulls=True).over(w)).where("asked and event_id is not null").select("match_id", "frame_index", "event_id")
+    rows = f.withColumn("stretch", own).join(e, ["match_id", "stretch"]).where(F.col("e.at").between(F.col("frame_index") - 44, F.col("frame_index")))
+    return rows.groupBy("match_id", "frame_index").agg(F.max("e").alias("e")).select("match_id", "frame_index", "e.event_id")
 
 
 QUERIES["JN09_overlay_events"] = overlay_events
@@ -835,11 +831,9 @@ SELECT path_id, round(speed, 6) AS m_s, speed > 3 AS flagged FROM v"""
 
 def ball_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Displacement over five samples of the best ball and its straight continuation 0.5, 1 and 1.5 s on, with falling confidence."""
-    from pyspark.sql import Window
-
     d = detections(spark, sf_dir)
-    w = Window.partitionBy("match_id").orderBy("frame_index")
-    b = possession.best_ball(d).withColumns({"px": F.lag("cx", 5).over(w), "py": F.lag("cy", 5).over(w), "pf": F.lag("frame_index", 5).over(w)}).where("pf is not null")
+    ranked = blocked_row_number(possession.best_ball(d).select(*L.FRAME, "cx", "cy").withColumn("__stretch", F.floor(F.col("frame_index") / 65_536)), ["match_id"], [F.col("frame_index")], "__stretch", "n")
+    b = ranked.join(ranked.select("match_id", (F.col("n") + 5).alias("n"), F.col("frame_index").alias("pf"), F.col("cx").alias("px"), F.col("cy").alias("py")), ["match_id", "n"])
     b = b.withColumn("t", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5))))
     k = F.col("t") * 30 / (F.col("frame_index") - F.col("pf"))
     return b.select(*L.FRAME, "t", F.round(F.col("cx") + k * (F.col("cx") - F.col("px")) + 1e-7, 4).alias("x"), F.round(F.col("cy") + k * (F.col("cy") - F.col("py")) + 1e-7, 4).alias("y"), F.round(F.exp(-0.45 * F.col("t")), 6).alias("confidence"))
@@ -854,7 +848,5 @@ SELECT match_id, frame_index, t, round(cx + t * 30 / (frame_index - pf) * (cx -
 @q("TOP11_canonical_order", f"""{W} SELECT det_seq, row_number() OVER (PARTITION BY match_id ORDER BY frame_index, class_name, CASE WHEN track_id IS NULL OR track_id = 0 THEN -1 ELSE track_id END, score DESC, det_seq) AS place FROM det""")
 def canonical_order(d: DataFrame) -> DataFrame:
     """Every row's place in the order results are presented in; counted by stretches of frames, so that no match is one task."""
-    from pitchgrid.operators.blocks import blocked_row_number
-
     rows = d.withColumn("__stretch", F.floor(F.col("frame_index") / 4096))
     return blocked_row_number(rows, ["match_id"], [F.col("frame_index"), F.col("class_name"), E.known_track("track_id"), F.desc("score"), F.col("det_seq")], "__stretch", "place").select("det_seq", "place")
