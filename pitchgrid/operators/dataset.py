@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import hash_bucket
+from pitchgrid.operators.blocks import blocked_row_number
 from pitchgrid.operators.filters import best_per
 from pitchgrid.operators.folds import apart
 from pitchgrid.session import table
@@ -173,13 +174,26 @@ def coco_annotations(images: DataFrame, detections: DataFrame) -> DataFrame:
     return rows.join(cats, "class_name").withColumn("area", F.col("bw") * F.col("bh"))
 
 
-def phrase_pairs(images: DataFrame, detections: DataFrame, negatives: float = 0.5) -> DataFrame:
-    """Image x phrase rows: a positive for each class seen in an image, and of the others, per class, round(positives * negatives) by digest."""
-    seen = detections.where("class_name is not null").select("image_id", "class_name").distinct().withColumn("positive", F.lit(True))
-    names = coco_categories(detections).select("class_name")
-    grid = images.select("image_id").join(F.broadcast(names), how="cross")  # a handful of phrases
-    rows = grid.join(seen, ["image_id", "class_name"], "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+def ranked_by_digest(df: DataFrame, keys: Sequence[str], digest_column: str, name: str) -> DataFrame:
+    """Rank of each row by its digest (hex) within the keys, counted in 4,096 even blocks of digests."""
+    rows = df.withColumns({"__top": F.substring(digest_column, 1, 3), "__one": F.lit(0)})
+    return blocked_row_number(rows, [*keys, "__one"], [F.col(digest_column)], "__top", name).drop("__top", "__one")
+
+
+def phrase_pairs(images: DataFrame, detections: DataFrame, negatives: float = 0.5, most_phrases: int = 1000) -> DataFrame:
+    """Image x phrase rows: a positive for each class seen in an image, and of the others, per class, round(positives * negatives) by digest.
+
+    Phrases are the class names, a closed vocabulary; more than most_phrases are refused. Every image is read once and
+    gives a row for each phrase it lacks."""
+    seen = detections.where("class_name is not null").select("image_id", "class_name").distinct()
     counts = seen.groupBy("class_name").agg(F.count(F.lit(1)).alias("p"))
-    rank = F.row_number().over(Window.partitionBy("class_name", "positive").orderBy(digest("neg", F.col("class_name"), F.col("image_id"))))
-    ranked = rows.withColumn("r", rank).join(counts, "class_name")
-    return ranked.where(F.col("positive") | (F.col("r") <= F.round(F.col("p") * negatives))).select("image_id", "class_name", "positive")
+    names = [r[0] for r in counts.select("class_name").limit(most_phrases + 1).collect()]
+    if len(names) > most_phrases:
+        raise ValueError("too many phrases")
+    has = seen.groupBy("image_id").agg(F.collect_set("class_name").alias("has"))
+    phrases = F.array(*map(F.lit, sorted(names))) if names else F.array().cast("array<string>")
+    lacking = images.select("image_id").join(has, "image_id", "left").select("image_id", F.explode(F.array_except(phrases, F.coalesce("has", F.array().cast("array<string>")))).alias("class_name"))
+    ranked = ranked_by_digest(lacking.withColumn("d", digest("neg", F.col("class_name"), F.col("image_id"))), ["class_name"], "d", "r").join(counts, "class_name")
+    drawn = ranked.where(F.col("r") <= F.round(F.col("p") * negatives)).select("image_id", "class_name", F.lit(False).alias("positive"))
+    own = images.select("image_id").join(seen, "image_id").select("image_id", "class_name", F.lit(True).alias("positive"))
+    return own.unionByName(drawn)

@@ -85,3 +85,21 @@ def event_breakdown(events: DataFrame) -> DataFrame:
     row = lambda kind, measure, key: F.when(F.col("event_type") == kind, F.struct(F.lit(measure).alias("measure"), told(key).alias("name")))
     parts = F.array_compact(F.array(row("goal_candidate", "goals_by_side", "goal_side"), row("goal_rejected", "rejects_by_reason", "rejection_reason"), row("shot", "shots_by_team", "shooting_team"), row("shot", "shots_by_side", "target_side")))
     return events.select("match_id", F.explode(parts).alias("p")).groupBy("match_id", "p.measure", "p.name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def exact_percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """Interpolated percentiles of a value in 0..1 per key, by name, without a buffer of all values: counts by bin tell in which
+    bins the ranks lie, and only the values of those are ranked."""
+    rows = df.select(key, F.col(value).alias("__v")).where("__v is not null").withColumn("__bin", F.least(F.floor(F.col("__v") * bins), F.lit(bins - 1)))
+    counts = rows.groupBy(key, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(key)
+    counts = counts.withColumns({"__upto": F.sum("__n").over(w.orderBy("__bin")), "__all": F.sum("__n").over(w)})
+    wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.floor(p * (F.col("__all") - 1)).alias("rank"), (p * (F.col("__all") - 1)).alias("at")) for n, p in shares.items()])
+    targets = counts.select(key, "__bin", (F.col("__upto") - F.col("__n")).alias("__before"), "__upto", F.explode(wanted).alias("t"))
+    targets = targets.withColumn("r", F.explode(F.array(F.col("t.rank"), F.col("t.rank") + 1))).where((F.col("r") >= F.col("__before")) & (F.col("r") < F.col("__upto")))
+    cells = rows.join(targets.select(key, "__bin").distinct(), [key, "__bin"], "left_semi").groupBy(key, "__bin", "__v").agg(F.count(F.lit(1)).alias("__m"))
+    cells = cells.withColumn("__end", F.sum("__m").over(Window.partitionBy(key, "__bin").orderBy("__v")))
+    hit = targets.join(cells, [key, "__bin"]).where((F.col("r") - F.col("__before") >= F.col("__end") - F.col("__m")) & (F.col("r") - F.col("__before") < F.col("__end")))
+    low, high = F.max(F.when(F.col("r") == F.col("t.rank"), F.col("__v"))), F.max(F.when(F.col("r") == F.col("t.rank") + 1, F.col("__v")))
+    one = hit.groupBy(key, "t.name").agg((low + (F.coalesce(high, low) - low) * F.max(F.col("t.at") - F.col("t.rank"))).alias("v"))
+    return one.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in shares])

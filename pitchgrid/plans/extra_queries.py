@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions import geometry as G
 from pitchgrid.operators import dataset as D
 from pitchgrid.operators import field, folds, quality
 from pitchgrid.plans import match_queries as M
-from pitchgrid.plans.dataset_queries import _PATH, MAN, _path, run_summary
+from pitchgrid.plans.dataset_queries import _PATH, MAN, _path, run_summary, scratch
 from pitchgrid.session import table
 from pitchgrid.sources.detections import BALLS, DET, GOALS, ROBOTS, detections, is_in, sql_in
 
@@ -91,15 +91,22 @@ def run_lengths(pixels: DataFrame, mask: str, at: str, total: int) -> DataFrame:
     return out.select(mask, F.when(left > 0, F.concat(flat, F.array(left))).otherwise(flat).alias("counts"))
 
 
+def box_run_lengths(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int) -> Column:
+    """COCO run lengths of a box as a mask, column by column: no row for a pixel."""
+    tall, columns = y2 - y1, x2 - x1
+    middle = F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), columns), lambda i: F.when(i < columns, F.array(tall, height - tall)).otherwise(F.array(tall))))
+    before, after = x1 * height + y1, (width - x2) * height + height - y2
+    whole = F.concat(F.array(before), middle)
+    return F.when(after > 0, F.concat(whole, F.array(after))).otherwise(whole)
+
+
 @q("WIN13_run_lengths", f"""WITH {DET}, b AS (SELECT det_seq, floor(x1)::BIGINT AS a, floor(y1)::BIGINT AS t, floor(x2)::BIGINT - floor(x1)::BIGINT AS w, floor(y2)::BIGINT - floor(y1)::BIGINT AS h FROM det WHERE class_name IN {_B})
 SELECT det_seq, 2 * w + 1 AS runs, a * 2304 + t AS first_off, w * h AS set_pixels FROM b WHERE w > 0 AND h > 0""")
 def mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run lengths of the balls' boxes as masks in a frame of 4096 x 2304."""
     d = detections(spark, sf_dir).where(is_in(BALLS))
-    xs, ys = F.sequence(F.floor("x1"), F.floor("x2") - 1), F.sequence(F.floor("y1"), F.floor("y2") - 1)
     d = d.where((F.floor("x2") > F.floor("x1")) & (F.floor("y2") > F.floor("y1")))
-    px = d.select("det_seq", F.explode(xs).alias("x"), ys.alias("ys")).select("det_seq", "x", F.explode("ys").alias("y")).select("det_seq", (F.col("x") * 2304 + F.col("y")).alias("at"))
-    r = run_lengths(px, "det_seq", "at", 4096 * 2304)
+    r = d.select("det_seq", box_run_lengths(*[F.floor(c) for c in ("x1", "y1", "x2", "y2")], 4096, 2304).alias("counts"))
     on = F.aggregate(F.filter("counts", lambda _, i: i % 2 == 1), F.lit(0).cast("long"), lambda s, x: s + x)
     return r.select("det_seq", F.size("counts").cast("long").alias("runs"), F.get("counts", F.lit(0)).alias("first_off"), on.alias("set_pixels"))
 
@@ -131,12 +138,14 @@ def rule_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("SET01_united_sources", f"WITH {DET} SELECT source, count(*) AS rows, count(DISTINCT match_id) AS matches FROM det GROUP BY 1")
 def united(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources as tables of their own, united again."""
-    d = detections(spark, sf_dir)
-    parts = [d.where(F.col("source") == s) for s in ("sam3", "color_ball", "dark_robot", "goal_geometry")] + [d.where("source is null or source not in ('sam3', 'color_ball', 'dark_robot', 'goal_geometry')")]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    """The sources as files of their own, united again: each branch scans its own."""
+    at, names = scratch(spark), ("sam3", "color_ball", "dark_robot", "goal_geometry", "other")
+    d = detections(spark, sf_dir).select("match_id", "source", F.when(F.col("source").isin(*names[:-1]), F.col("source")).otherwise("other").alias("file"))
+    d.write.partitionBy("file").parquet(at)
+    whole = None
+    for name in names:
+        part = spark.read.schema("match_id string, source string, file string").option("basePath", at).parquet(at).where(F.col("file") == name).drop("file")
+        whole = part if whole is None else whole.unionByName(part)
     return whole.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("match_id").alias("matches"))
 
 

@@ -442,8 +442,7 @@ def marker_median(d: DataFrame) -> DataFrame:
 @q("AGG26_colour_range", f"{W} SELECT class_name, round(quantile_cont(score, 0.08), 6) AS low, round(quantile_cont(score, 0.92), 6) AS high FROM det WHERE class_name IN {_G} GROUP BY 1")
 def colour_range(d: DataFrame) -> DataFrame:
     """The 8th and 92nd percentiles that bound a learned range."""
-    p = lambda x: F.round(F.percentile("score", x), 6)
-    return d.where(is_in(GOALS)).groupBy("class_name").agg(p(0.08).alias("low"), p(0.92).alias("high"))
+    return summaries.exact_percentiles(d.where(is_in(GOALS)), "class_name", "score", {"low": 0.08, "high": 0.92}).select("class_name", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 # Situations ------------------------------------------------------------------------------------

@@ -24,15 +24,19 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df in the shared folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Where none is named, a fresh local one for a session on one machine (tests); a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("name a folder all executors share in spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="pitchgrid-")
 
-    A folder of our own is set only where neither the context nor the session names one (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df in the shared folder; a folder is set only where the context has none."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitchgrid-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
