@@ -120,8 +120,8 @@ def forecasts(fits: DataFrame, pitch: Pitch, horizon: float = 1.5, step: float =
     base = F.when(F.col("branch") == "continue", straight).otherwise((1 - straight) / 2)
     weight = base * F.greatest(F.lit(0.08), F.col("inside") * F.col("inside"))
     out = out.withColumn("w", weight).withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy(*key)))
-    clip = lambda c, top: F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(top)), 4)
-    return out.select(*key, "branch", F.round("share", 6).alias("probability"), clip(F.col("e.px"), pitch.length_m).alias("end_x_m"), clip(F.col("e.py"), pitch.width_m).alias("end_y_m"))
+    clip = lambda c, top: F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(top)) + 1e-8, 4)  # noqa: E731  halves go up whatever their last bit says
+    return out.select(*key, "branch", F.round(F.col("share") + 1e-8, 6).alias("probability"), clip(F.col("e.px"), pitch.length_m).alias("end_x_m"), clip(F.col("e.py"), pitch.width_m).alias("end_y_m"))
 
 
 def best_snapshot(fits: DataFrame, every: int = 5, after: int = 18, top: int = 4) -> DataFrame:

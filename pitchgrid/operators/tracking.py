@@ -152,35 +152,77 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
-def ball_path(df: DataFrame, preferred_area: float = 650.0, w_area: float = 1.0, w_score: float = 1.0, jump: float = 30.0, penalty: float = 50.0, top: int = 6) -> DataFrame:
+def _cheapest(layers: list[tuple[int, np.ndarray, np.ndarray]], jump: float, penalty: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Least cost from each candidate of the first layer (frame, cost, place) to each of the last, without the first's own cost,
+    and for every further layer which candidate before it lies on the way, by start."""
+    first = len(layers[0][1])
+    cost = np.where(np.eye(first, dtype=bool), 0.0, np.inf)
+    back = []
+    for (f0, _, p0), (f1, c1, p1) in zip(layers, layers[1:]):
+        allowed = max(jump, 1e-9) * max(1, f1 - f0)
+        d = np.sqrt(((p1[:, None] - p0[None]) ** 2).sum(-1))
+        step = cost[:, None, :] + (d / allowed + np.where(d > allowed, penalty, 0.0))[None]
+        pick = step.argmin(axis=2)
+        back.append(pick)
+        cost = c1[None] + np.take_along_axis(step, pick[..., None], axis=2)[..., 0]
+    return cost, back
+
+
+def ball_path(df: DataFrame, preferred_area: float = 650.0, w_area: float = 1.0, w_score: float = 1.0, jump: float = 30.0, penalty: float = 50.0, top: int = 6, block: int = 4096) -> DataFrame:
     """The ball of each frame on the cheapest path: area and score of a candidate, and jumps between frames.
 
-    Candidates are cut to the `top` cheapest of a frame in the JVM; the path runs per match."""
+    Candidates are cut to the `top` cheapest of a frame in the JVM. Frames with a ball are cut into blocks of `block` that share their
+    border frame. Each block gives the least costs between its first and last candidates, at most top * top numbers;
+    these tell a match's border candidates, and between them each block finds its part of the path."""
     area = F.when(F.coalesce("area", F.lit(0.0)) > 0, F.col("area")).otherwise((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     balls = df.where(is_in(BALLS)).withColumn("cost", w_area * F.abs(F.log(F.greatest(area, F.lit(1.0)) / preferred_area)) - w_score * F.col("score"))
     w = Window.partitionBy("match_id", "frame_index").orderBy("cost", "det_seq")
     few = balls.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("match_id", "frame_index", "det_seq", "cx", "cy", "cost", "r")
+    frames = few.where("r = 1").select("match_id", "frame_index", F.floor(F.col("frame_index") / 65_536).alias("__stretch"))
+    frames = blocked_row_number(frames, ["match_id"], [F.col("frame_index")], "__stretch", "n")
+    own = F.floor((F.col("n") - 1) / block)
+    blocks = F.when(((F.col("n") - 1) % block == 0) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    rows = few.join(frames, ["match_id", "frame_index"]).withColumn("block", F.explode(blocks)).select("match_id", "block", "frame_index", "n", "det_seq", "cx", "cy", "cost", "r")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def layers_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, np.ndarray, np.ndarray]], list[tuple[int, int, int]]]:
         pdf = pdf.sort_values(["frame_index", "r"])
-        c, p, s = pdf["cost"].to_numpy(), pdf[["cx", "cy"]].to_numpy(), pdf["det_seq"].to_numpy()
-        layers = [(f, c[a:b], p[a:b], s[a:b]) for f, a, b in by_frame(pdf)]
-        cost, back = layers[0][1], []
-        for (f0, _, p0, _), (f1, c1, p1, _) in zip(layers, layers[1:]):
-            allowed = max(jump, 1e-9) * max(1, f1 - f0)
-            d = np.sqrt(((p1[:, None] - p0[None]) ** 2).sum(-1))
-            step = cost[None, :] + d / allowed + np.where(d > allowed, penalty, 0.0)
-            pick = step.argmin(axis=1)
-            back.append(pick)
-            cost = c1 + step[np.arange(len(c1)), pick]
-        at = int(cost.argmin())
-        total, chosen = float(cost[at]), [at]
+        c, p, at = pdf["cost"].to_numpy(), pdf[["cx", "cy"]].to_numpy(), by_frame(pdf)
+        return pdf, [(f, c[a:b], p[a:b]) for f, a, b in at], at
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, layers, _ = layers_of(pdf)
+        cost, _ = _cheapest(layers, jump, penalty)
+        i, j = np.indices(cost.shape)
+        return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "block": pdf["block"].iloc[0], "i": i.ravel(), "j": j.ravel(), "cost": cost.ravel(), "first": layers[0][1][i.ravel()]})
+
+    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, ways, numbers = None, [], []
+        for number, g in pdf.sort_values(["block", "i", "j"]).groupby("block", sort=True):
+            m = g["cost"].to_numpy().reshape(g["i"].max() + 1, g["j"].max() + 1)
+            total = g["first"].to_numpy()[:: m.shape[1]] if total is None else total
+            through = total[:, None] + m
+            ways.append(through.argmin(axis=0))
+            total = through.min(axis=0)
+            numbers.append(number)
+        at, out = int(total.argmin()), []
+        for number, way in zip(reversed(numbers), reversed(ways)):
+            out.append((pdf["match_id"].iloc[0], number, int(way[at]), at, number == numbers[-1], float(total.min())))
+            at = int(way[at])
+        return pd.DataFrame(out, columns=["match_id", "block", "start", "stop", "last", "total"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, layers, at = layers_of(pdf)
+        _, back = _cheapest(layers, jump, penalty)
+        start, chosen = int(pdf["start"].iloc[0]), [int(pdf["stop"].iloc[0])]
         for pick in reversed(back):
-            chosen.append(int(pick[chosen[-1]]))
-        chosen.reverse()
-        return pd.DataFrame({"match_id": pdf["match_id"].iloc[0], "frame_index": [f for f, *_ in layers], "det_seq": [s[i] for (_, _, _, s), i in zip(layers, chosen)], "path_cost": round(total, 6)})
-
-    return few.groupBy("match_id").applyInPandas(run, "match_id string, frame_index long, det_seq long, path_cost double")
+            chosen.append(int(pick[start, chosen[-1]]))
+        rows = [a + i for (_, a, _), i in zip(at, reversed(chosen))]
+        kept = pdf.iloc[rows if pdf["last"].iloc[0] else rows[:-1]]  # a border frame is the next block's
+        return pd.DataFrame({"match_id": kept["match_id"], "frame_index": kept["frame_index"], "det_seq": kept["det_seq"], "path_cost": kept["total"].round(6)})
+
+    costs = rows.groupBy("match_id", "block").applyInPandas(ends, "match_id string, block long, i long, j long, cost double, first double")
+    chosen = costs.groupBy("match_id").applyInPandas(borders, "match_id string, block long, start long, stop long, last boolean, total double")
+    return rows.join(chosen, ["match_id", "block"]).groupBy("match_id", "block").applyInPandas(walk, "match_id string, frame_index long, det_seq long, path_cost double")
 
 
 def steady_goals(df: DataFrame, names: tuple[str, ...], alpha: float = 0.25, jump: float = 240.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pitchgrid.operators import events as E
+from pitchgrid.plans import dataset_queries as D
 from pitchgrid.plans import match_queries as M
 from pitchgrid.sources.detections import BALLS, DET, GOALS, ROBOTS, sql_in
 
@@ -170,3 +171,21 @@ w AS (SELECT match_id, state, g, string_agg(DISTINCT r, ';' ORDER BY r) AS reaso
     "STR03_sessions": """WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), i AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l)
 SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, user_id, count(*) AS rows FROM i GROUP BY user_id, g""",
 }
+
+_RECORDING = f"coalesce({D._PATH.format('source_group')}, regexp_replace({D._PATH.format('video')}, '_f[0-9]+-[0-9]+(\\.[a-z0-9]+)?$', '\\1'))"
+_TAKE = f"""SELECT *, sha256(concat_ws(chr(0), '7', tier, grp, image_id::VARCHAR)) AS d FROM (SELECT {_RECORDING} AS grp, frame_index, image_id, has_ball, CASE WHEN coalesce(has_ball, false) THEN 'positive' ELSE 'negative' END AS tier FROM manifest_images) WHERE grp IS NOT NULL AND frame_index IS NOT NULL"""
+_CHOICE = """{o} AS (SELECT *, row_number() OVER (ORDER BY n, k) AS i FROM {left}),
+{f} AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS ch, 0::BIGINT AS have, (SELECT total FROM t) * {aim}::DOUBLE AS aim, greatest(0, (SELECT count(*) FROM {left}) - {reserve}) AS room
+  UNION ALL SELECT o.i, CASE WHEN ({take}) THEN list_append(ch, k) ELSE ch END, CASE WHEN ({take}) THEN have + n ELSE have END, aim, room FROM {f} f JOIN {o} o ON o.i = f.i + 1)"""
+_TAKES = "len(ch) < room AND have <> aim AND (len(ch) = 0 OR abs(aim - have - n) <= abs(aim - have))"
+ORACLES |= {
+    "DST07_review_gap": walk("", _TAKE, ["tier", "grp"], "d, image_id", ["frame_index", "image_id", "has_ball"], kept_unless("abs(k.frame_index - o.frame_index) < 30")).replace("fin AS (SELECT tier, grp, unnest(kept) AS x", "fin AS (SELECT tier, grp, unnest(kept) AS x, (unnest(range(len(kept))))::INTEGER AS turn")
+    + """SELECT CASE tier WHEN 'positive' THEN 'verify_mask' ELSE 'verify_absence' END AS task, grp AS "group", turn, sha256(concat_ws(chr(0), '7', tier, 'group', grp)) AS group_digest, x.image_id AS image_id, x.frame_index AS frame_index, x.has_ball AS has_ball FROM fin""",
+    "DST02_balanced_split": f"WITH RECURSIVE {D.MAN}, c AS (SELECT video AS k, count(*) AS n FROM img GROUP BY 1), t AS (SELECT sum(n) AS total FROM c), {_CHOICE.format(o='o1', f='f1', left='c', aim='0.1', reserve='2', take=_TAKES)}, v AS (SELECT unnest(ch) AS k FROM f1 WHERE i = (SELECT max(i) FROM f1)), c2 AS (SELECT * FROM c WHERE k NOT IN (SELECT k FROM v)), "
+    f"{_CHOICE.format(o='o2', f='f2', left='c2', aim=repr(1 - 0.8 - 0.1), reserve='1', take=_TAKES)}, e AS (SELECT unnest(ch) AS k FROM f2 WHERE i = (SELECT max(i) FROM f2)) SELECT k AS video, n AS frames, CASE WHEN k IN (SELECT k FROM v) THEN 'val' WHEN k IN (SELECT k FROM e) THEN 'test' ELSE 'train' END AS split FROM c",
+    "FOR01_forecasts": M._FITS + f""", b AS (SELECT ff.*, br.name, br.sign, s.range AS s, s.range * 0.25::DOUBLE AS t, br.sign * radians(38.0::DOUBLE) * s.range * 0.25::DOUBLE / 2 AS half FROM ff, (VALUES ('continue', 0.0::DOUBLE), ('turn_left', 1.0::DOUBLE), ('turn_right', -1.0::DOUBLE)) br(name, sign), range(7) s),
+c AS (SELECT *, t * CASE WHEN half = 0 THEN 1 ELSE sin(half) / half END AS chord FROM b), p AS (SELECT *, field_x_m + chord * (vx * cos(half) - vy * sin(half)) AS px, field_y_m + chord * (vx * sin(half) + vy * cos(half)) AS py FROM c),
+g AS (SELECT match_id, track_id, frame_index, name AS branch, min(rmse) AS rmse, avg(CASE WHEN px BETWEEN 0 AND {M._LEN} AND py BETWEEN 0 AND {M._WID} THEN 1.0::DOUBLE ELSE 0 END) AS inside, arg_max(px, s) AS ex, arg_max(py, s) AS ey FROM p GROUP BY 1, 2, 3, 4),
+w AS (SELECT *, (CASE WHEN branch = 'continue' THEN 0.48::DOUBLE + 0.32::DOUBLE * exp(-rmse / 0.08::DOUBLE) ELSE (1 - 0.48::DOUBLE - 0.32::DOUBLE * exp(-rmse / 0.08::DOUBLE)) / 2 END) * greatest(0.08::DOUBLE, inside * inside) AS w FROM g)
+SELECT match_id, track_id, frame_index, branch, round(w / sum(w) OVER (PARTITION BY match_id, track_id, frame_index) + 1e-8::DOUBLE, 6) AS probability, round(least(greatest(ex, 0), {M._LEN}) + 1e-8::DOUBLE, 4) AS end_x_m, round(least(greatest(ey, 0), {M._WID}) + 1e-8::DOUBLE, 4) AS end_y_m FROM w""",
+}

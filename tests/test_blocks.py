@@ -91,3 +91,28 @@ def test_cooldown_over_batches(spark):
                 kept[-1] = (f, c)
         want += [(k, f, c) for f, c in kept]
     assert got == want
+
+
+def test_ball_path_in_blocks(spark):
+    """The path over blocks is the path over the whole match, and no other path costs less."""
+    rnd = random.Random(6)
+    frames = sorted(rnd.sample(range(80), 40))
+    d = det(spark, *[("ball", f, (x := 5 * f + rnd.uniform(-30, 30), y := rnd.uniform(0, 60), x + rnd.uniform(5, 40), y + rnd.uniform(5, 40)), None, None, rnd.random()) for f in frames for _ in range(rnd.randrange(1, 9))])
+    whole = {r.frame_index: (r.det_seq, r.path_cost) for r in tracking.ball_path(d).collect()}
+    assert sorted(whole) == frames and len({c for _, c in whole.values()}) == 1
+    for block in (1, 2, 7):
+        assert {r.frame_index: (r.det_seq, r.path_cost) for r in tracking.ball_path(d, block=block).collect()} == whole
+    layers = {}
+    for r in d.collect():
+        cost = abs(np.log(max((r.x2 - r.x1) * (r.y2 - r.y1), 1.0) / 650.0)) - r.score
+        layers.setdefault(r.frame_index, []).append((cost, r.det_seq, r.cx, r.cy))
+    best = None
+    for f in frames:
+        now = sorted(layers[f])[:6]
+        if best is None:
+            best = [(c, (x, y)) for c, _, x, y in now]
+        else:
+            reach = 30.0 * max(1, f - last)
+            best = [(c + min(b + (d := float(np.hypot(x - p[0], y - p[1]))) / reach + 50.0 * (d > reach) for b, p in best), (x, y)) for c, _, x, y in now]
+        last = f
+    assert abs(min(c for c, _ in best) - next(iter(whole.values()))[1]) < 1e-5
