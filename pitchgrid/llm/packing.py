@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +47,14 @@ class TokenCounter:
 
 
 def token_counts(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens); a null text has none."""
+    """(key, tokens); a null text has none. The vocabulary's file is read where the driver runs and shipped to every executor."""
+    df.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for batch in batches:
-            counter = counter or TokenCounter(vocabulary)
+            counter = counter or TokenCounter(SparkFiles.get(name))
             n = [counter(t.as_py()) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=[key, "tokens"])
 
@@ -140,3 +144,11 @@ def pack_texts(df: DataFrame, key: str, text: str, capacity: int = 2048, windows
             break
     rests = placed.select(key, F.col("full").alias("piece"), (F.col("full") * capacity).alias("first_token"), F.col("size").alias("tokens"), "container", "position")
     return whole.unionByName(rests)
+
+
+def packing_fill(places: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: texts, tokens, containers used, the least number that could hold the tokens, and the share of the containers that is filled."""
+    return places.agg(
+        F.count_distinct(F.col(places.columns[0])).alias("texts"), F.sum("tokens").alias("tokens"), F.count_distinct("container").alias("containers"), F.ceil(F.sum("tokens") / capacity).alias("least"),
+        F.round(F.sum("tokens") / (F.count_distinct("container") * capacity), 6).alias("fill"),
+    )

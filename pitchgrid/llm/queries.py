@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchgrid.llm.group_split import image_groups, image_splits
 from pitchgrid.llm.leaks import leaked_passages
-from pitchgrid.llm.packing import pack_texts
+from pitchgrid.llm.packing import pack_texts, packing_fill
 from pitchgrid.llm.runs import state_runs
 from pitchgrid.llm.sampling import review_sample
 from pitchgrid.llm.spans import shared_spans
@@ -67,6 +67,11 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: their number beside the least possible."""
+    return packing_fill(p8_containers(spark, sf_dir))
+
+
 def p9_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "passage")
 
@@ -97,7 +102,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.join(docs, "doc_id").select("doc_id", "shared_chars", "spans", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_sample, p3_rates, p4_found, p4_runs, p5_found, p5_report, p6_found, p6_ranked, p7_found, p7_splits, p8_containers, p9_found, p9_verbatim, p9_items, p10_found, p10_shared)}
+QUERIES = {f.__name__: f for f in (p3_sample, p3_rates, p4_found, p4_runs, p5_found, p5_report, p6_found, p6_ranked, p7_found, p7_splits, p8_containers, p8_fill, p9_found, p9_verbatim, p9_items, p10_found, p10_shared)}
 
 
 def _spelling(c: str) -> str:
@@ -186,4 +191,9 @@ SELECT item_id, count(DISTINCT doc_id) AS verbatim_docs, count(DISTINCT i) AS wi
 WITH w AS (SELECT doc_id, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
 g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
 SELECT DISTINCT doc_id FROM w JOIN g USING (h)""",
+    "p10_shared": """
+WITH w AS (SELECT doc_id, i, hash(substring(text, i, 300)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), s AS (SELECT DISTINCT doc_id, i FROM w JOIN g USING (h)), l AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM s),
+k AS (SELECT *, sum(CASE WHEN p IS NULL OR i > p + 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS n FROM l), r AS (SELECT doc_id, n, max(i) + 300 - min(i) AS chars FROM k GROUP BY 1, 2)
+SELECT doc_id, sum(chars)::BIGINT AS shared_chars, count(*) AS spans, round(sum(chars) / max(length(text)), 6) AS share FROM r JOIN documents USING (doc_id) GROUP BY 1""",
 }

@@ -54,6 +54,12 @@ def test_packing(spark, capacity, windows, per_shard):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
+def test_given_texts_fill_their_containers(spark, data):
+    """At 2,048 tokens no more than 3 % above the least possible number of containers."""
+    r = packing.packing_fill(pack_texts(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text")).first()
+    assert r.texts == 1000 and r.containers <= 1.03 * r.least and r.fill >= 0.97
+
+
 def test_packing_of_nothing(spark):
     assert pack_texts(docs(spark, []), "doc_id", "text").collect() == []
     assert [r.tokens for r in pack_texts(docs(spark, [None]), "doc_id", "text").collect()] == [0]
