@@ -222,7 +222,7 @@ def bloom_filter(hashes: DataFrame, least: int = 1 << 17, most: int = 1 << 27) -
     return out.view(np.uint8)
 
 
-def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, size: int = 12, salts: int = 8, most_bits: int = 1 << 27) -> DataFrame:
+def leaked_passages(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, passage: str, size: int = 12, salts: int = 4, most_bits: int = 1 << 27) -> DataFrame:
     """(item, doc, doc_at, item_at, named, verbatim): windows of `size` words of a passage whose template stands in a text.
 
     Words are maximal runs of letters and digits, without case. Numbers, units and, in a second template
