@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import platform
 from collections.abc import Sequence
+from datetime import UTC, datetime
+from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +44,15 @@ def markdown(df: DataFrame, title: str, limit: int = 10_000) -> str:
     rows = document(df, limit)
     head = f"| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}"
     return "\n".join([f"# {title}", "", head, *(f"| {' | '.join(str(r[c]) for c in df.columns)} |" for r in rows), ""])
+
+
+def run_manifest(arguments: Sequence[str], sources: Sequence[str], artifacts: Sequence[str]) -> dict:
+    """What a run was made of: arguments, time, versions, a digest of its source files, and the files it wrote, with their sizes where they are here."""
+    digest = hashlib.sha256()
+    for path in sorted(sources):
+        digest.update(path.encode() + b"\0" + Path(path).read_bytes() + b"\0")
+    files = [{"path": a, "bytes": Path(a).stat().st_size if Path(a).is_file() else None} for a in artifacts]
+    return {
+        "arguments": list(arguments), "created": datetime.now(UTC).isoformat(), "python": platform.python_version(), "spark": pyspark.__version__,
+        "sources": digest.hexdigest(), "artifacts": files,
+    }

@@ -254,13 +254,80 @@ def test_two_means(spark):
 def test_precision(spark):
     t = spark.createDataFrame([(1, "a", 0.0, 0.0, 10.0, 10.0), (1, "a", 20.0, 0.0, 30.0, 10.0), (2, "a", 0.0, 0.0, 10.0, 10.0), (1, "b", 0.0, 0.0, 10.0, 10.0)], "image_id long, category string, x1 double, y1 double, x2 double, y2 double")
     scored = t.withColumn("score", F.lit(0.9))
-    assert {(r.category, r.ap, r.ar) for r in average_precision(t, scored).collect()} == {("a", 1.0, 1.0), ("b", 1.0, 1.0)}
+    assert {(r.category, r.ap, r.ar100, r.ap_small, r.ap_large) for r in average_precision(t, scored).collect()} == {("a", 1.0, 1.0, 1.0, None), ("b", 1.0, 1.0, 1.0, None), (None, 1.0, 1.0, 1.0, None)}
     half = scored.where("category = 'a' and x1 = 0").unionByName(scored.where("category = 'a' and x1 = 20").withColumn("x1", F.lit(24.0)).withColumn("score", F.lit(0.99)))
     r = {r.category: r for r in average_precision(t, half).collect()}
     # The false first box halves precision until both true ones are found: 2/3 at recall 2/3; at 0.5 the moved box (IoU .6) still counts.
     assert r["a"].ap50 == 1.0 and abs(r["a"].ap75 - 67 / 101 * 2 / 3) < 1e-5 and r["b"].ap == 0.0
 
 
+def coco(truth, predicted, category, least, most, top):
+    """(AP per overlap, recall per overlap) of one category and size, box by box and point by point."""
+    images = {p[0] for p in predicted}
+    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    out = []
+    for t in np.linspace(0.5, 0.95, 10):
+        marks, n = [], 0
+        for image in images:
+            gts = [g[2:6] for g in truth if g[0] == image and g[1] == category]
+            n += sum(least <= area(g) <= most for g in gts)
+            free = set(range(len(gts)))
+            for p in sorted((p for p in predicted if p[0] == image and p[1] == category), key=lambda p: (-p[6], p[2], p[3]))[:top]:
+                def iou(g, b=p[2:6]):
+                    w, h = max(0, min(g[2], b[2]) - max(g[0], b[0])), max(0, min(g[3], b[3]) - max(g[1], b[1]))
+                    return w * h / (area(g) + area(b) - w * h)
+
+                fits = [(least <= area(gts[j]) <= most, iou(gts[j]), -j) for j in free if iou(gts[j]) >= t - 1e-9]
+                if fits:
+                    own, _, j = max(fits)
+                    free.remove(-j)
+                    if own:
+                        marks.append((p[6], 1))
+                elif least <= area(p[2:6]) <= most:
+                    marks.append((p[6], 0))
+        if not n:
+            return None
+        curve, tp, all_ = [], 0, 0
+        for s in sorted({m[0] for m in marks}, reverse=True):  # equal scores are one step
+            tp, all_ = tp + sum(m[1] for m in marks if m[0] == s), all_ + sum(m[0] == s for m in marks)
+            curve.append((tp / n, tp / all_))
+        out.append((sum(max((q for r, q in curve if r >= k / 100 - 1e-9), default=0.0) for k in range(101)) / 101, tp / n))
+    return out
+
+
+def test_all_twelve_figures(spark):
+    rng = np.random.default_rng(8)
+    truth, predicted = [], []
+    for image in range(14):
+        for c in "ab":
+            for _ in range(int(rng.integers(0, 5))):
+                x, y, w, h = *rng.uniform(0, 300, 2), *rng.choice([12.0, 50.0, 140.0], 2)
+                truth.append((image, c, x, y, x + w, y + h))
+                if rng.random() < 0.8:
+                    dx, dy = rng.normal(0, 4, 2)
+                    predicted.append((image, c, x + dx, y + dy, x + w + dx, y + h, round(float(rng.random()), 2)))
+        if image != 3:
+            predicted += [(image, "a", x := float(rng.uniform(0, 300)), 10.0, x + 30, 50.0, round(float(rng.random()), 2)) for _ in range(12)]
+    cols = "image_id long, category string, x1 double, y1 double, x2 double, y2 double"
+    rows = lambda v: [tuple(float(a) if isinstance(a, np.floating) else a for a in r) for r in v]
+    df, pf = spark.createDataFrame(rows(truth), cols), spark.createDataFrame(rows(predicted), cols + ", score double")
+    for bins in (4096, 3):
+        got = {r.category: r for r in average_precision(df, pf, bins).collect()}
+        sizes = {"": (0, 1e10), "_small": (0, 1024), "_medium": (1024, 9216), "_large": (9216, 1e10)}
+        want = {}
+        for c in "ab":
+            for name, (least, most) in sizes.items():
+                r = coco(truth, predicted, c, least, most, 100)
+                want[c, f"ap{name}"], want[c, f"ar{name or 100}"] = np.mean([a for a, _ in r]), np.mean([b for _, b in r])
+            r = coco(truth, predicted, c, 0, 1e10, 100)
+            want[c, "ap50"], want[c, "ap75"] = r[0][0], r[5][0]
+            want |= {(c, f"ar{m}"): np.mean([b for _, b in coco(truth, predicted, c, 0, 1e10, m)]) for m in (1, 10)}
+        for (c, name), v in want.items():
+            assert abs(got[c][name] - v) < 2e-6, (c, name)
+            assert abs(got[None][name] - (want["a", name] + want["b", name]) / 2) < 2e-6
+    assert average_precision(df.limit(0), pf.limit(0)).collect() == []
+
+
 def test_governance(spark):
     counts = [("a", 10), ("b", 20), ("c", 70)]
     assert dataset.balanced_splits(counts) == {"a": "val", "b": "test", "c": "train"}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pitchgrid.operators.tracking import track
 from pitchgrid.plans import dataset_queries
 from pitchgrid.sources.detections import read_detections
-from pitchgrid.sources.sinks import document, markdown, write_csv, write_detections, write_splits
+from pitchgrid.sources.sinks import document, markdown, run_manifest, write_csv, write_detections, write_splits
 from pitchgrid.streaming import live
 from tests.test_match import det
 
@@ -52,3 +52,13 @@ def test_sinks(spark, tmp_path):
     write_splits(t, str(tmp_path / "s"))
     assert (tmp_path / "s" / "split=train").is_dir()
     assert document(t.select("zone")) == [{"zone": "z"}] and "| z |" in markdown(t.select("zone"), "Zones")
+
+
+def test_run_manifest(tmp_path):
+    a, b = tmp_path / "a.py", tmp_path / "b.py"
+    a.write_text("1")
+    b.write_text("2")
+    one, two = run_manifest(["x"], [str(a), str(b)], [str(a), "gone"]), run_manifest(["x"], [str(b), str(a)], [])
+    assert one["sources"] == two["sources"] and one["artifacts"] == [{"path": str(a), "bytes": 1}, {"path": "gone", "bytes": None}]
+    b.write_text("3")
+    assert run_manifest(["x"], [str(a), str(b)], [])["sources"] != one["sources"]
