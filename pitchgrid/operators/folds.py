@@ -1,4 +1,4 @@
-"""Greedy folds over ordered groups: within a frame as JVM array aggregates, along an entity as sorted streams that hold one state."""
+"""Greedy folds over ordered groups: within a frame by whole arrays, along an entity as sorted streams that hold one state."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchgrid.functions.geometry import Box, containment, distance, iou
+from pitchgrid.functions.geometry import Box
 from pitchgrid.operators.blocks import runs_of
 
 
@@ -31,33 +31,61 @@ def greedy(df: DataFrame, keys: Sequence[str], order: Sequence[Column], clash: C
     return packed.select(*keys, F.explode(kept).alias("__k")).select(*keys, *[F.col(f"__k.{c}").alias(c) for c in cols])
 
 
+def _framewise(df: DataFrame, keys: Sequence[str], order: Sequence[Column], work: Callable[[pa.Table, int, int], Any], finish: Callable[[pa.Table, list], pa.Table], schema: Any) -> DataFrame:
+    """Whole groups of a frame, sorted, through Arrow: work sees the rows a..b of one group, finish makes a table's output of all results."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs_of(batches, keys):
+            code = [group.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
+            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in code], axis=0), True]).tolist()
+            yield from finish(group, [work(group, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).combine_chunks().to_batches()
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _kept(clash: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int | None = None) -> Callable[[pa.Table, int, int], np.ndarray]:
+    """Which boxes of a group stay when it is walked in order and each one that stays takes those after it that clash; `limit` ends the walk."""
+
+    def work(group: pa.Table, a: int, b: int) -> np.ndarray:
+        box = np.column_stack([group.column(c)[a:b].to_numpy() for c in ("x1", "y1", "x2", "y2")])
+        keep, count = np.ones(len(box), bool), 0
+        for i in range(len(box)):
+            if keep[i]:
+                count += 1
+                if limit is not None and count >= limit:
+                    keep[i + 1 :] = False
+                    break
+                rest = slice(i + 1, len(box))
+                keep[rest] &= ~clash(box[i], box[rest])
+        return keep
+
+    return work
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intersection of a box with others, and the areas of both."""
+    size = lambda m: np.clip(m[..., 2] - m[..., 0], 0, None) * np.clip(m[..., 3] - m[..., 1], 0, None)
+    inter = np.clip(np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0]), 0, None) * np.clip(np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1]), 0, None)
+    return inter, size(a), size(b)
+
+
+def _filtered(group: pa.Table, keep: list[np.ndarray]) -> pa.Table:
+    return group.filter(pa.array(np.concatenate(keep)))
+
+
 def suppress(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Non-maximum suppression per frame and class: by score, a box goes that overlaps a kept one by threshold.
 
     Frames can hold thousands of candidates, for which an interpreted array fold is too slow: sorted
     groups stream through Arrow, and each kept box is compared with all that follow at once."""
-    keys = ["match_id", "frame_index", "class_name"]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs_of(batches, keys):
-            code = [group.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
-            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in code], axis=0), True])
-            box = np.column_stack([group.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")])
-            area = np.clip(box[:, 2] - box[:, 0], 0, None) * np.clip(box[:, 3] - box[:, 1], 0, None)
-            keep = np.ones(len(box), bool)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                for i in range(a, b - 1):
-                    if keep[i]:
-                        rest = slice(i + 1, b)
-                        w = np.minimum(box[i, 2], box[rest, 2]) - np.maximum(box[i, 0], box[rest, 0])
-                        h = np.minimum(box[i, 3], box[rest, 3]) - np.maximum(box[i, 1], box[rest, 1])
-                        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-                        union = area[i] + area[rest] - inter
-                        keep[rest] &= ~((inter > 0) & (union > 0) & (inter >= threshold * union))
-            yield from group.filter(pa.array(keep)).combine_chunks().to_batches()
-
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, F.desc("score"), "det_seq").mapInArrow(run, df.schema)
+    def clash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        inter, own, other = _shared(a, b)
+        union = own + other - inter
+        return (inter > 0) & (union > 0) & (inter >= threshold * union)
+
+    return _framewise(df, ["match_id", "frame_index", "class_name"], [F.desc("score"), F.col("det_seq")], _kept(clash), _filtered, df.schema)
 
 
 def suppress_robots(
@@ -67,19 +95,21 @@ def suppress_robots(
     """Robots kept in order (near a ball, whole rather than fragment, score, area); other classes pass."""
     b = Box.of()
 
-    def clash(k: Column, r: Column) -> Column:
-        x, y = Box.field(k), Box.field(r)
-        d = distance(x.cx, x.cy, y.cx, y.cy)
-        out = (iou(x, y) >= max_iou) | (containment(x, y) >= max_contained)
+    def clash(one: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        inter, own, other = _shared(one, rest)
+        union, least = own + other - inter, np.minimum(own, other)
+        d = np.sqrt(((one[0] + one[2] - rest[:, 0] - rest[:, 2]) / 2) ** 2 + ((one[1] + one[3] - rest[:, 1] - rest[:, 3]) / 2) ** 2)
+        out = ((inter > 0) & (union > 0) & (inter >= max_iou * union)) | ((least > 0) & (inter >= max_contained * least))
         if min_centre > 0:
-            out = out | (d < min_centre)
+            out |= d < min_centre
         if centre_ratio > 0:
-            out = out | (d < centre_ratio * F.greatest(x.diagonal, y.diagonal))
+            diagonal = lambda m: np.sqrt((m[..., 2] - m[..., 0]) ** 2 + (m[..., 3] - m[..., 1]) ** 2)
+            out |= d < centre_ratio * np.maximum(diagonal(one), diagonal(rest))
         return out
 
-    order = [(~near_ball).cast("int"), fragment.cast("int"), -F.col("score"), -b.area, F.col("det_seq")]
+    order = [(~near_ball).cast("int"), fragment.cast("int"), F.desc("score"), F.desc(b.area), F.col("det_seq")]
     size = F.when(F.coalesce("area", F.lit(0.0)) > 0, F.col("area")).otherwise(b.area)
-    kept = greedy(df.where(size >= min_area), ["match_id", "frame_index"], order, clash, max_per_frame)
+    kept = _framewise(df.where(size >= min_area), ["match_id", "frame_index"], order, _kept(clash, max_per_frame), _filtered, df.schema)
     return kept.unionByName(others) if others is not None else kept
 
 
@@ -183,16 +213,21 @@ def apart(df: DataFrame, keys: Sequence[str], order: Sequence[str], at: str, gap
 
 def clusters(df: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
     """Boxes walked by score; each joins the first cluster with a member within reach, else opens one. One united box per cluster."""
-    packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "det_seq", "score", "x1", "y1", "x2", "y2", "cx", "cy"))).alias("__all"))
-
-    def step(acc: Column, row: Column) -> Column:
-        near = F.filter(acc, lambda m: distance(m["cx"], m["cy"], row["cx"], row["cy"]) <= reach)
-        cluster = F.coalesce(F.array_min(F.transform(near, lambda m: m["c"])), F.coalesce(F.array_max(F.transform(acc, lambda m: m["c"])), F.lit(0)) + 1)
-        fields = [row[c].alias(c) for c in ("det_seq", "score", "x1", "y1", "x2", "y2", "cx", "cy")]
-        return F.concat(acc, F.array(F.struct(cluster.alias("c"), *fields)))
-
-    empty = F.expr("cast(array() as array<struct<c:int,det_seq:bigint,score:double,x1:double,y1:double,x2:double,y2:double,cx:double,cy:double>>)")
-    rows = packed.select(*keys, F.explode(F.aggregate("__all", empty, step)).alias("m"))
-    m = lambda c: F.col(f"m.{c}")
-    area = F.greatest(F.lit(0.0), m("x2") - m("x1")) * F.greatest(F.lit(0.0), m("y2") - m("y1"))
-    return rows.groupBy(*keys, m("c").alias("cluster")).agg(F.min(m("x1")).alias("x1"), F.min(m("y1")).alias("y1"), F.max(m("x2")).alias("x2"), F.max(m("y2")).alias("y2"), F.max(m("score")).alias("score"), F.round(F.sum(area), 4).alias("area"), F.count(F.lit(1)).alias("parts"))
+    keys, kinds = list(keys), dict(df.dtypes)
+
+    def work(group: pa.Table, a: int, b: int) -> np.ndarray:
+        p = np.column_stack([group.column(c)[a:b].to_numpy() for c in ("cx", "cy")])
+        own = np.zeros(len(p), np.int32)
+        for i in range(len(p)):
+            near = np.sqrt(((p[:i] - p[i]) ** 2).sum(axis=1)) <= reach
+            own[i] = own[:i][near].min() if near.any() else own[:i].max(initial=0) + 1
+        return own
+
+    def finish(group: pa.Table, own: list[np.ndarray]) -> pa.Table:
+        return group.append_column("cluster", pa.array(np.concatenate(own)))
+
+    cols = [*keys, "det_seq", "score", "x1", "y1", "x2", "y2", "cx", "cy"]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", cluster int"
+    rows = _framewise(df.select(*cols), keys, [F.desc("score"), F.col("det_seq")], work, finish, schema)
+    area = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")) * F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))
+    return rows.groupBy(*keys, "cluster").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("score").alias("score"), F.round(F.sum(area), 4).alias("area"), F.count(F.lit(1)).alias("parts"))

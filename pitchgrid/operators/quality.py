@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchgrid.functions.geometry import Pitch
+from pitchgrid.session import checkpointed
 
 #: Limits of the quality rules.
 LIMITS = {
@@ -222,7 +223,7 @@ def two_means(vectors: DataFrame, key: str, vector: str, rounds: int = 50) -> Da
 
     Only the two centres ever reach the driver."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = vectors.select(key, norm.alias("__n"), F.col(vector).alias("__raw")).where("__n > 0").select(key, F.transform("__raw", lambda x: x.cast("double") / F.col("__n")).alias("__v")).persist()
+    unit = checkpointed(vectors.select(key, norm.alias("__n"), F.col(vector).alias("__raw")).where("__n > 0").select(key, F.transform("__raw", lambda x: x.cast("double") / F.col("__n")).alias("__v")))
 
     def far(c: list[float]) -> Column:
         lit = F.array(*[F.lit(float(x)) for x in c])
