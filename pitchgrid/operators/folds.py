@@ -31,26 +31,26 @@ def greedy(df: DataFrame, keys: Sequence[str], order: Sequence[Column], clash: C
     return packed.select(*keys, F.explode(kept).alias("__k")).select(*keys, *[F.col(f"__k.{c}").alias(c) for c in cols])
 
 
-def _framewise(df: DataFrame, keys: Sequence[str], order: Sequence[Column], work: Callable[[pa.Table, int, int], Any], finish: Callable[[pa.Table, list], pa.Table], schema: Any) -> DataFrame:
-    """Whole groups of a frame, sorted, through Arrow: work sees the rows a..b of one group, finish makes a table's output of all results."""
+def _framewise(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str], work: Callable[[np.ndarray], np.ndarray], finish: Callable[[pa.Table, list], pa.Table], schema: Any) -> DataFrame:
+    """Whole groups of a frame, sorted, through Arrow: work sees the columns of one group's rows, finish makes a table's output of all results."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs_of(batches, keys):
             code = [group.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False) for k in keys]
             cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in code], axis=0), True]).tolist()
-            yield from finish(group, [work(group, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).combine_chunks().to_batches()
+            rows = np.column_stack([group.column(c).to_numpy() for c in columns])
+            yield from finish(group, [work(rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).combine_chunks().to_batches()
 
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def _kept(clash: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int | None = None) -> Callable[[pa.Table, int, int], np.ndarray]:
+def _kept(clash: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """Which boxes of a group stay when it is walked in order and each one that stays takes those after it that clash; `limit` ends the walk."""
 
-    def work(group: pa.Table, a: int, b: int) -> np.ndarray:
-        box = np.column_stack([group.column(c)[a:b].to_numpy() for c in ("x1", "y1", "x2", "y2")])
+    def work(box: np.ndarray) -> np.ndarray:
         keep, count = np.ones(len(box), bool), 0
-        for i in range(len(box)):
+        for i in range(len(box) - (limit is None)):
             if keep[i]:
                 count += 1
                 if limit is not None and count >= limit:
@@ -63,6 +63,9 @@ def _kept(clash: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int | No
     return work
 
 
+_CORNERS = ("x1", "y1", "x2", "y2")
+
+
 def _shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intersection of a box with others, and the areas of both."""
     size = lambda m: np.clip(m[..., 2] - m[..., 0], 0, None) * np.clip(m[..., 3] - m[..., 1], 0, None)
@@ -85,7 +88,7 @@ def suppress(df: DataFrame, threshold: float = 0.9) -> DataFrame:
         union = own + other - inter
         return (inter > 0) & (union > 0) & (inter >= threshold * union)
 
-    return _framewise(df, ["match_id", "frame_index", "class_name"], [F.desc("score"), F.col("det_seq")], _kept(clash), _filtered, df.schema)
+    return _framewise(df, ["match_id", "frame_index", "class_name"], [F.desc("score"), F.col("det_seq")], _CORNERS, _kept(clash), _filtered, df.schema)
 
 
 def suppress_robots(
@@ -109,7 +112,7 @@ def suppress_robots(
 
     order = [(~near_ball).cast("int"), fragment.cast("int"), F.desc("score"), F.desc(b.area), F.col("det_seq")]
     size = F.when(F.coalesce("area", F.lit(0.0)) > 0, F.col("area")).otherwise(b.area)
-    kept = _framewise(df.where(size >= min_area), ["match_id", "frame_index"], order, _kept(clash, max_per_frame), _filtered, df.schema)
+    kept = _framewise(df.where(size >= min_area), ["match_id", "frame_index"], order, _CORNERS, _kept(clash, max_per_frame), _filtered, df.schema)
     return kept.unionByName(others) if others is not None else kept
 
 
@@ -215,8 +218,7 @@ def clusters(df: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
     """Boxes walked by score; each joins the first cluster with a member within reach, else opens one. One united box per cluster."""
     keys, kinds = list(keys), dict(df.dtypes)
 
-    def work(group: pa.Table, a: int, b: int) -> np.ndarray:
-        p = np.column_stack([group.column(c)[a:b].to_numpy() for c in ("cx", "cy")])
+    def work(p: np.ndarray) -> np.ndarray:
         own = np.zeros(len(p), np.int32)
         for i in range(len(p)):
             near = np.sqrt(((p[:i] - p[i]) ** 2).sum(axis=1)) <= reach
@@ -228,6 +230,6 @@ def clusters(df: DataFrame, keys: Sequence[str], reach: float) -> DataFrame:
 
     cols = [*keys, "det_seq", "score", "x1", "y1", "x2", "y2", "cx", "cy"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + ", cluster int"
-    rows = _framewise(df.select(*cols), keys, [F.desc("score"), F.col("det_seq")], work, finish, schema)
+    rows = _framewise(df.select(*cols), keys, [F.desc("score"), F.col("det_seq")], ("cx", "cy"), work, finish, schema)
     area = F.greatest(F.lit(0.0), F.col("x2") - F.col("x1")) * F.greatest(F.lit(0.0), F.col("y2") - F.col("y1"))
     return rows.groupBy(*keys, "cluster").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("score").alias("score"), F.round(F.sum(area), 4).alias("area"), F.count(F.lit(1)).alias("parts"))

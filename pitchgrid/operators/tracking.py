@@ -75,7 +75,9 @@ def track(df: DataFrame, threshold: float = 0.25, max_age: int = 12) -> DataFram
 
 
 def _numbered(pieces: DataFrame, run) -> DataFrame:  # noqa: ANN001
-    """Tracks of each piece of a match and class, numbered in the match by how they begin."""
+    """Tracks of the pieces of a match and class, numbered in the match by how they begin. Pieces that begin within 4,096 frames go
+    together, as a walk over them forgets one before the next: groups are fewer, none is longer than its longest piece and 4,096 frames."""
+    pieces = pieces.withColumn("__piece", F.floor(F.col("__piece") / 4096))
     local = pieces.groupBy("match_id", "class_name", "__piece").applyInPandas(run, "match_id string, frame_index long, det_seq long, class_name string, __piece long, local long")
     key = ["match_id", "class_name", "__piece", "local"]
     heads = local.groupBy(*key).agg(F.min("frame_index").alias("__f"), F.min(F.struct("frame_index", "det_seq")).alias("__head")).withColumn("__stretch", F.floor(F.col("__f") / 65_536))
