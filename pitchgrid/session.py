@@ -27,7 +27,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir. Where none is named, a fresh local one for a session on one machine (tests); a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("name a folder all executors share in spark.checkpoint.dir")
     return named or tempfile.mkdtemp(prefix="pitchgrid-")
 
